@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import line_dedup, ngram_join, quality_rules
+from tessella.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": packing.query,
     "op5_ngram_join": ngram_join.query,
+    "op7_decontamination": decontaminate.query,
     "op8_quality_rules": quality_rules.query,
     "op10_line_dedup": line_dedup.query,
 }
