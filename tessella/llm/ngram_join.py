@@ -10,8 +10,11 @@ order, as many as make any two such linked sets share one (a prefix filter). No
 
 Equal sets become one node before any pair is made. Sorted signatures stream through tasks which
 link each group to its least node: candidates grow with the group, not with its square. Candidates
-are verified on the exact sets. Pairs inside a group that are still in different components are
-then compared as well, so the components are exactly those of all links.
+are verified on the exact sets. What may still be missed are links between two components inside a
+group. A node with such a link shares at least the threshold's part of its own n-grams with other
+components, so nodes that don't are dropped, again and again, by counting n-grams alone. What two
+nodes each have that no other component has is part of their difference, so a pair is made only where
+these two counts leave room for a link. The components are exactly those of all links.
 
 Defined results: a null or empty text, or one without words, has an empty set (0) and is a component
 of its own; ids may repeat (each row gets its set's component) or be null (a component's id is its
@@ -33,6 +36,8 @@ from tessella.llm.graph import components
 
 #: Nodes whose ids may be broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_NODES = 1_000_000
+#: Rounds in which nodes without enough n-grams in common with other components are dropped.
+PEELS = 3
 #: Comparisons of one centre that go to one task.
 SALT = 512
 
@@ -181,10 +186,14 @@ class NgramJoin:
         return ordered.mapInArrow(run, "sig long, a long, b long")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """(node, text) for the nodes of ``wanted`` (node, doc_id), which names one document of each."""
+        """``wanted`` (node, pick and more) with the text of document ``pick``."""
         if wanted.count() <= BROADCAST_NODES:
             wanted = F.broadcast(wanted)
-        return self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("pick"))).select("node", "text")
+        return self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("pick"))).drop("doc_id", "pick")
+
+    def picks(self, nodes: DataFrame) -> DataFrame:
+        """(node, pick): one document of each node."""
+        return nodes.groupBy("node").agg(F.min("doc_id").alias("pick"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b: distinct nodes) whose sets are linked."""
@@ -192,7 +201,7 @@ class NgramJoin:
         counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
         pairs = settle(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT)).alias("salt")))
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = self.texts(used.join(nodes.groupBy("node").agg(F.min("doc_id").alias("pick")), "node").select("node", "pick"))
+        texts = self.texts(used.join(self.picks(nodes), "node"))
         left = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
         right = pairs.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
 
@@ -221,7 +230,7 @@ class NgramJoin:
         stars = self._near(groups.select("a", "b").distinct(), sizes)
         edges = settle(self.verified(stars, nodes))
         labels = settle(components(edges))
-        rest = self._across(groups, labels, sizes).join(stars, ["a", "b"], "left_anti")
+        rest = self._across(groups, labels, nodes, sizes).join(stars, ["a", "b"], "left_anti")
         more = settle(self.verified(rest, nodes))
         if not more.isEmpty():
             labels = settle(components(edges.union(more)))
@@ -233,15 +242,48 @@ class NgramJoin:
             pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}")), c)
         return settle(pairs.where(self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")).select("a", "b"))
 
-    def _across(self, groups: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Pairs that share a signature and aren't in one component, a < b."""
+    def _across(self, groups: DataFrame, labels: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+        """Pairs that share a signature, aren't in one component, and may be linked; a < b."""
         members = groups.select("sig", F.col("b").alias("node")).union(groups.select("sig", "a").distinct())
-        members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        open_groups = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low != high and n > 2").select("sig")
-        members = settle(members.join(open_groups, "sig"))
-        other = members.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = members.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "sig").where("a < b and ra != rb").select("a", "b").distinct()
-        return self._near(pairs, sizes)
+        members = settle(_open(members.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))))
+        held = self._shared(members.select("node", "root").distinct(), nodes)
+        members = _open(members.drop("root").join(held, "node"))
+        left, right = (members.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "own", "n")]) for side in "ab")
+        room = self.den * (F.col("a_own") + F.col("b_own")) + self.num * (F.col("a_own") + F.col("b_own")) <= (self.den - self.num) * (F.col("a_n") + F.col("b_n"))
+        pairs = left.join(right, "sig").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & room)
+        return self._near(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sizes)
+
+    def _shared(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Those of ``members`` (node, root) that share enough n-grams with other components to have a link there.
+
+        n is a node's number of n-grams, own how many of them no other component's member has.
+        """
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles = Shingles(size)
+            for batch in batches:
+                out, rows = [], 0
+                for node, root, text in zip(*(batch.column(c).to_pylist() for c in ("node", "root", "text")), strict=True):
+                    s = shingles.of(text)
+                    if node == node_of(s):
+                        out.append(np.stack([np.full(len(s), node), np.full(len(s), root), s.view(np.int64)]))
+                        rows += len(s)
+                    if rows > 200_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], names=["node", "root", "shingle"])
+                        out, rows = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], names=["node", "root", "shingle"])
+
+        texts = self.texts(members.join(self.picks(nodes), "node").select("node", "pick", "root"))
+        elements = settle(texts.mapInArrow(run, "node long, root long, shingle long"))
+        for _ in range(PEELS):
+            foreign = elements.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+            common = elements.join(foreign, "shingle").groupBy("node").agg(F.count("*").alias("common"))
+            enough = common.join(nodes.select("node", F.col("n_shingles").alias("n")).distinct(), "node").where(self.den * F.col("common") >= self.num * F.col("n"))
+            members = settle(members.select("node", "root").join(enough, "node").select("node", "root", "n", (F.col("n") - F.col("common")).alias("own")))
+            elements = elements.join(members.select("node"), "node", "left_semi")
+        return members
 
     def link(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) per document."""
@@ -252,6 +294,12 @@ class NgramJoin:
         return out.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The rows (sig, node, root) of signatures that more than one component has."""
+    several = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
+    return members.join(several, "sig")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each component, the one with the least id; all columns as they were.
 

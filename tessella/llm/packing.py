@@ -18,9 +18,9 @@ ignored unless ``with_ids`` asks for the ids themselves.
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +40,6 @@ BUCKET_PIECES = 16_384
 GROUPS = 32
 #: Lengths over capacity / LARGE count as large.
 LARGE = 8
-BLANKS = re.compile("[ \n]+")
 
 
 class Words(dict):
@@ -59,6 +58,7 @@ class Words(dict):
         self.merges = self.full.model
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.parts: dict[str, bytes] = {}
+        self[""] = b""
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for code points from 256
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in set(shown))
@@ -70,21 +70,29 @@ class Words(dict):
             if len(self.parts) >= CACHE_ENTRIES:
                 self.parts.clear()
             shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
-            found = self.parts[text] = np.array([t.id for t in self.merges.tokenize(shown)], np.uint32).tobytes()
+            found = self.parts[text] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
         return found
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        if "<|" in stretch or not (stretch.isascii() or unicodedata.is_normalized("NFC", stretch) and stretch.isprintable()):
-            value = np.array(self.full.encode(stretch, add_special_tokens=False).ids, np.uint32).tobytes()
+            self[""] = b""
+        plain = stretch.isascii()
+        if "<|" in stretch or not (plain or unicodedata.is_normalized("NFC", stretch) and stretch.isprintable()):
+            value = array("I", self.full.encode(stretch, add_special_tokens=False).ids).tobytes()
         else:
-            value = b"".join(map(self.part, self.cut("".join(map(str.lower, stretch)))))
+            low = stretch.lower() if plain or "Σ" not in stretch else "".join(map(str.lower, stretch))
+            if low.isalpha():
+                value = self.part(low)
+            elif low[-1] in ",." and low[:-1].isalpha():
+                value = self.part(low[:-1]) + self.part(low[-1])
+            else:
+                value = b"".join(map(self.part, self.cut(low)))
         self[stretch] = value
         return value
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, filter(None, BLANKS.split(text))))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
