@@ -238,24 +238,27 @@ class Token(Comparable):
 
     # arrays
 
-    def _values(self, values: Iterable[Any]) -> Column:
+    def _array(self, values: Iterable[Any]) -> list[Any]:
         if not isinstance(self.type, T.ArrayType):
             raise TypeError(f"{self.source}.{self.name} isn't an array")
+        return list(values)
+
+    def _values(self, values: Iterable[Any]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast(self.type)
 
     def contains_all(self, values: Iterable[Any]) -> Filter:
         """Has every value; true for none of them."""
-        values = list(values)
+        values = self._array(values)
         return self._filter(lambda c: c.isNotNull() & F.forall(self._values(values), lambda v: F.coalesce(F.array_contains(c, v), F.lit(False))))
 
     def contained_by(self, values: Iterable[Any]) -> Filter:
         """Has nothing but these values; for none of them only an empty array does."""
-        values = list(values)
+        values = self._array(values)
         return self._filter(lambda c: F.forall(c, lambda v: F.coalesce(F.array_contains(self._values(values), v), F.lit(False))))
 
     def overlaps(self, values: Iterable[Any]) -> Filter:
         """Has one of the values; false for none of them."""
-        values = list(values)
+        values = self._array(values)
         return self._filter(lambda c: F.coalesce(F.arrays_overlap(c, self._values(values)), F.lit(False)))
 
 
