@@ -12,9 +12,9 @@ Equal sets become one node before any pair is made. Sorted signatures stream thr
 link each group to its least node: candidates grow with the group, not with its square. Candidates
 are verified on the exact sets. What may still be missed are links between two components inside a
 group. A node with such a link shares at least the threshold's part of its own n-grams with other
-components, so nodes that don't are dropped, again and again, by counting n-grams alone. What two
-nodes each have that no other component has is part of their difference, so a pair is made only where
-these two counts leave room for a link. The components are exactly those of all links.
+components, so nodes that don't are dropped, again and again, by counting n-grams alone. The few that
+remain are compared, block by block, through an inverted index in each task that counts common
+n-grams and gives back links alone. The components are exactly those of all links.
 
 Defined results: a null or empty text, or one without words, has an empty set (0) and is a component
 of its own; ids may repeat (each row gets its set's component) or be null (a component's id is its
@@ -38,6 +38,8 @@ from tessella.llm.graph import components
 BROADCAST_NODES = 1_000_000
 #: Rounds in which nodes without enough n-grams in common with other components are dropped.
 PEELS = 3
+#: Nodes of a block; two blocks at a time are compared in a task.
+BLOCK = 256
 #: Comparisons of one centre that go to one task.
 SALT = 512
 
@@ -217,7 +219,7 @@ class NgramJoin:
                             centre, own = x, s
                     elif x == centre and y == node_of(s) and linked(own, s, num, den):
                         out.append((x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
+                yield _links(out)
 
         ordered = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return ordered.mapInArrow(run, "u long, v long")
@@ -230,8 +232,7 @@ class NgramJoin:
         stars = self._near(groups.select("a", "b").distinct(), sizes)
         edges = settle(self.verified(stars, nodes))
         labels = settle(components(edges))
-        rest = self._across(groups, labels, nodes, sizes).join(stars, ["a", "b"], "left_anti")
-        more = settle(self.verified(rest, nodes))
+        more = settle(self._across(groups, labels, nodes))
         if not more.isEmpty():
             labels = settle(components(edges.union(more)))
         return nodes, labels
@@ -242,22 +243,64 @@ class NgramJoin:
             pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}")), c)
         return settle(pairs.where(self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")).select("a", "b"))
 
-    def _across(self, groups: DataFrame, labels: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-        """Pairs that share a signature, aren't in one component, and may be linked; a < b."""
+    def _across(self, groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links (u, v) between components that share a signature."""
         members = groups.select("sig", F.col("b").alias("node")).union(groups.select("sig", "a").distinct())
         members = settle(_open(members.join(labels, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))))
         held = self._shared(members.select("node", "root").distinct(), nodes)
         members = _open(members.drop("root").join(held, "node"))
-        left, right = (members.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "own", "n")]) for side in "ab")
-        room = self.den * (F.col("a_own") + F.col("b_own")) + self.num * (F.col("a_own") + F.col("b_own")) <= (self.den - self.num) * (F.col("a_n") + F.col("b_n"))
-        pairs = left.join(right, "sig").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & room)
-        return self._near(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sizes)
+        centres = members.groupBy("sig").agg(F.min("node").alias("u"))
+        clusters = components(members.join(centres, "sig").select("u", F.col("node").alias("v")).distinct()).withColumnRenamed("root", "cluster")
+        blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        placed = clusters.join(blocks, "cluster").join(held, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        texts = self.texts(placed.join(self.picks(nodes), "node")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = texts.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "text")
+        return self._compared(dealt)
+
+    def _compared(self, dealt: DataFrame) -> DataFrame:
+        """Links (u, v) between components in each (cluster, low, high): of block low with block high, one for two components."""
+        size, num, den = self.size, self.num, self.den
 
-    def _shared(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Those of ``members`` (node, root) that share enough n-grams with other components to have a link there.
+        def links(low: int, high: int, rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+            held = [r for r in rows if r[0] == low]
+            elements = np.concatenate([r[3] for r in held]) if held else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(held)), [len(r[3]) for r in held])
+            order = np.argsort(elements, kind="stable")
+            elements, owner = elements[order], owner[order]
+            lengths, roots, done = np.array([len(r[3]) for r in held]), np.array([r[2] for r in held]), set()
+            for _, node, root, s in (r for r in rows if r[0] == high):
+                first, last = np.searchsorted(elements, s, "left"), np.searchsorted(elements, s, "right")
+                n = last - first
+                at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(held))
+                for i in np.flatnonzero((den * common >= num * (lengths + len(s) - common)) & (roots != root)).tolist():
+                    pair = (min(root, held[i][2]), max(root, held[i][2]))
+                    if pair not in done:
+                        done.add(pair)
+                        yield node, held[i][1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles, key, rows = Shingles(size), None, []
+            for batch in batches:
+                out = []
+                for *now, block, node, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now != key:
+                        if rows:
+                            out += links(key[1], key[2], rows)
+                        key, rows = now, []
+                    s = shingles.of(text)
+                    if node_of(s) == node:
+                        rows.append((block, node, root, s))
+                if out:
+                    yield _links(out)
+            if rows:
+                yield _links(list(links(key[1], key[2], rows)))
+
+        keys = ["cluster", "low", "high"]
+        return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
-        n is a node's number of n-grams, own how many of them no other component's member has.
-        """
+    def _shared(self, members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Those of ``members`` (node, root) that share enough n-grams with other components to have a link there."""
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +324,7 @@ class NgramJoin:
             foreign = elements.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
             common = elements.join(foreign, "shingle").groupBy("node").agg(F.count("*").alias("common"))
             enough = common.join(nodes.select("node", F.col("n_shingles").alias("n")).distinct(), "node").where(self.den * F.col("common") >= self.num * F.col("n"))
-            members = settle(members.select("node", "root").join(enough, "node").select("node", "root", "n", (F.col("n") - F.col("common")).alias("own")))
+            members = settle(members.join(enough.select("node"), "node"))
             elements = elements.join(members.select("node"), "node", "left_semi")
         return members
 
@@ -294,6 +337,10 @@ class NgramJoin:
         return out.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def _open(members: DataFrame) -> DataFrame:
     """The rows (sig, node, root) of signatures that more than one component has."""
     several = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("sig")
