@@ -33,8 +33,9 @@ from tessella.llm.common import CACHE_ENTRIES, held_out
 
 FEATURES = 1 << 20
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-#: Documents of the sample that must hold a word before it gets a weight.
-MIN_DOCS = 5
+#: Documents of the sample that must hold a word before it gets a weight, and by how many standard
+#: errors its share of the positives must differ from its share of the unlabelled.
+MIN_DOCS, MIN_ERRORS = 5, 4.0
 STEPS, RATE, DECAY = 300, 0.05, 2e-4
 CUT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -61,7 +62,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     lengths = np.array([len(r) for r in rows])
     columns = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int64)
     used, docs = np.unique(columns, return_counts=True)
-    used = used[docs >= MIN_DOCS]
+    of_p = np.zeros(len(used))
+    words, n = np.unique(columns[: lengths[:n_p].sum()], return_counts=True)
+    of_p[np.searchsorted(used, words)] = n
+    share_p, share_u, share = of_p / n_p, (docs - of_p) / n_u, docs / len(rows)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    used = used[(docs >= MIN_DOCS) & (np.abs(share_p - share_u) >= MIN_ERRORS * error)]
     at = np.searchsorted(used, columns)
     known = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == columns) if len(used) else np.zeros(len(columns), bool)
     owner = np.repeat(np.arange(len(rows)), lengths)[known]
