@@ -8,8 +8,9 @@ its script where the language is unknown or too rare to have a band.
 All figures depend on a text's length (a mean over few tokens varies more, the entropy of many is
 higher), so bands hold per language and length class: two classes to each doubling of the token
 count. A band is the median plus or minus ``WIDTH`` robust deviations over all texts of the class
-that pass the base rules, so it follows the corpus and not a constant. Texts under ``MIN_TOKENS``
-tokens are too short to judge and keep the base verdict.
+that pass the base rules, so it follows the corpus and not a constant; a class too rare for a band
+takes that of its language or script at all lengths. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
+verdict.
 
 Defined results: a null text counts as none (0 words, base_failed); an empty text likewise; a
 null language uses the script's band; repeated rows are judged alike; further columns are ignored
@@ -37,6 +38,8 @@ MIN_GROUP = 30
 #: Half width of a band in robust standard deviations, and the least half width by figure.
 WIDTH = 6.0
 LEAST = {"tokens_per_word": 0.02, "chars_per_token": 0.02, "byte_share": 0.02, "entropy": 0.02}
+#: A text's band is that of the first of these groups that has one.
+KEYS = (["lang", "length_class"], ["script", "length_class"], ["lang"], ["script"])
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, tokens_per_word double, chars_per_token double, byte_share double, entropy double, script string"
@@ -124,10 +127,10 @@ def length_class():
     return F.floor(2 * F.log2(F.col("n_tokens").cast("double")))
 
 
-def bands(figures: DataFrame, group: str, width: float = WIDTH) -> DataFrame:
-    """Per value of ``group`` and length class the low and high end of each figure's band."""
-    keys = [group, "length_class"]
-    usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(group).isNotNull())
+def bands(figures: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
+    """Per ``keys`` the low and high end of each figure's band; their names begin with the keys'."""
+    group = "_".join(keys)
+    usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(keys[0]).isNotNull())
     middle = usable.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in LEAST]).where(F.col("n") >= MIN_GROUP)
     spread = usable.join(middle, keys).groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 10_000).alias(f"{c}_mad") for c in LEAST])
     half = {c: F.greatest(F.lit(least), width * 1.4826 * F.col(f"{c}_mad")) for c, least in LEAST.items()}
@@ -140,11 +143,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     figures = settle(fertility(source)).withColumn("length_class", length_class())
     out = figures
-    for group in ("lang", "script"):
-        out = out.join(bands(figures, group), [group, "length_class"], "left")
+    for keys in KEYS:
+        out = out.join(bands(figures, keys), keys, "left")
     inside = F.lit(True)
     for c in LEAST:
-        low, high = (F.coalesce(F.col(f"lang_{c}_{end}"), F.col(f"script_{c}_{end}")) for end in ("low", "high"))
+        low, high = (F.coalesce(*[f"{group}_{c}_{end}" for group in map("_".join, KEYS)]) for end in ("low", "high"))
         inside = inside & F.coalesce(F.col(c).between(low, high), F.lit(True))
     kept = ~F.col("base_failed") & ((F.col("n_tokens") < MIN_TOKENS) | inside)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
