@@ -37,7 +37,12 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 BUCKET_PIECES = 16_384
-GROUPS = 32
+GROUPS = 96
+#: Where there are more sizes than groups, groups' lengths are rounded up further to multiples of this,
+#: which keeps the pricing of configurations small.
+UNIT = 16
+#: How far from the best relaxed solution column generation may stop.
+GAP = 5e-4
 #: Lengths over capacity / LARGE count as large.
 LARGE = 8
 
@@ -131,7 +136,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     room = np.arange(capacity + 1)
     fits = room[None, :] - sizes[:, None]
     at = np.maximum(fits, 0)
-    for _ in range(20 * m):
+    for _ in range(6 * m):
         worth = np.ones(m) @ inverse
         value, chosen = np.zeros(capacity + 1), []
         for _ in range(int(capacity // sizes.min())):
@@ -141,7 +146,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
             pick = np.where(top > value + 1e-12, best, -1)
             chosen.append(pick)
             value = np.maximum(value, top)
-        if value[capacity] <= 1 + 1e-7:
+        if value[capacity] <= 1 + GAP:  # then no solution is better by more than this share
             break
         column, left = np.zeros(m), capacity
         for pick in reversed(chosen):
@@ -182,30 +187,60 @@ class Gaps:
         return sequence, room
 
 
+class Waiting:
+    """Large pieces that have no place yet, by length."""
+
+    def __init__(self, lengths: np.ndarray, pieces: list[int]):
+        self.by_length: dict[int, list[int]] = {}
+        for i in reversed(pieces):
+            self.by_length.setdefault(int(lengths[i]), []).append(i)
+        self.some = sum(1 << n for n in self.by_length)  # bit n: a piece of length n waits
+
+    def longest(self, most: int, least: int = 0) -> tuple[int, int] | None:
+        """A piece of the greatest length from ``least`` to ``most``, and that length."""
+        length = (self.some & (1 << most + 1) - 1).bit_length() - 1
+        if length < max(1, least):
+            return None
+        piece = self.by_length[length].pop()
+        if not self.by_length[length]:
+            self.some ^= 1 << length
+        return piece, length
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the offset of each piece."""
     order = np.argsort(-lengths, kind="stable")
     n_large = int((lengths > capacity // LARGE).sum())
-    sequence, filled, left = np.full(len(lengths), -1, np.int64), [], []
+    sequence, filled = np.full(len(lengths), -1, np.int64), []
+    large = order[:n_large].tolist()
+    waiting = Waiting(lengths, large)
     if n_large:
-        cuts = [n_large * i // groups for i in range(groups + 1)]
-        by_size: dict[int, list[int]] = {}
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                by_size.setdefault(int(lengths[order[a]]), []).extend(order[a:b].tolist())
-        sizes = np.array(list(by_size))
-        waiting = [x[::-1] for x in by_size.values()]  # the longest of a group goes first
-        for often, config in configurations(sizes, np.array([len(x) for x in waiting], float), capacity):
+        few = len(waiting.by_length) <= groups
+        unit = 1 if few else UNIT
+        cuts = np.flatnonzero(np.diff(lengths[large], prepend=-1)).tolist() if few else sorted({n_large * i // groups for i in range(groups)})
+        ranges: dict[int, list[int]] = {}  # a group's rounded length: its least length, its number
+        for a, b in zip(cuts, [*cuts[1:], n_large], strict=True):
+            top = min(capacity, -(-int(lengths[order[a]]) // unit) * unit)
+            n = ranges.get(top, (0, 0))[1]
+            ranges[top] = [int(lengths[order[b - 1]]), n + b - a]
+        sizes = np.array(list(ranges))  # descending
+        for often, config in configurations(-(-sizes // unit), np.array([n for _, n in ranges.values()], float), capacity // unit):
+            slots = [i for i, n in enumerate(config) for _ in range(n)]
             for _ in range(often):
-                took = [waiting[i].pop() for i, n in enumerate(config) for _ in range(min(n, len(waiting[i])))]
+                room, took = capacity, []
+                for at, i in enumerate(slots):
+                    # the last slot takes whatever fills the sequence best
+                    most = room if at == len(slots) - 1 else int(sizes[i])
+                    if found := waiting.longest(min(most, room), ranges[int(sizes[i])][0]):
+                        took.append(found[0])
+                        room -= found[1]
                 if took:
                     sequence[took] = len(filled)
-                    filled.append(int(lengths[took].sum()))
-        left = [i for x in waiting for i in x]
+                    filled.append(capacity - room)
     gaps = Gaps(capacity)
     for s, used in enumerate(filled):
         gaps.add(s, capacity - used)
-    for i in sorted(left, key=lambda i: -lengths[i]) + order[n_large:].tolist():
+    for i in [i for i in large if sequence[i] < 0] + order[n_large:].tolist():
         length = int(lengths[i])
         s, room = gaps.best(length) or (len(filled), capacity)
         if s == len(filled):
