@@ -1,0 +1,409 @@
+"""Each operator against brute force on small tables, and the edge cases that its docstring defines."""
+
+import collections
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import decontaminate, line_dedup, ngram_join, packing, pseudonyms, quality_model, quality_rules, sharding, token_counts, toxicity
+from tessella.llm.graph import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = SCHEMA + ", sig long, node long, root long, id long, pos int, key long, x int, y int, bytes long, bin int"
+WORDS = "the of and to in is it was for on that with as at by river stone light seven green house under over never".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + r.choice(["", "a", "er", "ing", "o"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = prose(1, 120)
+    edited = base.split()
+    edited[60] = "changed"
+    texts = [base, base, " ".join(edited), base + " tail", prose(2, 90), None, "", "  \n\t ", "one", "one two three", "ONE two Three", prose(3, 60) + "\n" + "A line that many sites repeat in full.\n" * 3, "x" * 300_000, "é " * 5000, prose(4, 40) + "\nA line that many sites repeat in full.", "A line that many sites repeat in full.\nend"]
+    rows = [(i, t, ["en", "de", None][i % 3], [f"s{i % 5}", None][i % 7 == 6], 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[0], (None, prose(5, 30), None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    extra = [x.strip().split() for x in CLASH[len(SCHEMA) + 1 :].split(",")]
+    return docs.select("*", *[F.lit(1).cast(kind).alias(name) for name, kind in extra])
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# 5
+
+
+def components_by_force(rows, size, num, den):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text in rows:
+        w = words_of((text or "").translate(low))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            parent[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    out = []
+    for members in groups.values():
+        known = [rows[i][0] for i in members if rows[i][0] is not None]
+        out += [(rows[i][0], len(sets[i]), min(known) if known else None) for i in members]
+    return sorted(out, key=str)
+
+
+def test_ngram_join(docs, clashing):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    expected = components_by_force(rows, 4, 85, 100)
+    assert sorted(map(tuple, ngram_join.NgramJoin(docs).link().collect()), key=str) == expected
+    assert sorted(map(tuple, ngram_join.NgramJoin(clashing).link().collect()), key=str) == expected
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ngram_join_of_edited_copies(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for base in range(6):
+        words = prose(100 * seed + base, r.choice([6, 8, 12, 20, 40, 150])).split()
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(r.randint(0, 1 + len(copy) // 12)):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice([[], ["new"], [copy[at], "more"]]) if len(copy) > 5 else ["new"]
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.NgramJoin(df).link().collect()), key=str) == components_by_force(rows, 4, 85, 100)
+    assert sorted(map(tuple, ngram_join.NgramJoin(df, 5, 80).link().collect()), key=str) == components_by_force(rows, 5, 80, 100)
+
+
+def test_signatures_lose_no_link():
+    bands, r = ngram_join.Bands(85, 100), np.random.default_rng(3)
+    for size in [*range(6, 40), 77, 150, 400]:
+        for _ in range(6):
+            a = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+            gone = int(r.integers(0, max(1, size // 6)))
+            b = np.unique(np.r_[a[gone:], r.integers(0, 1 << 63, int(r.integers(0, max(1, size // 8)))).astype(np.uint64)])
+            if ngram_join.linked(a, b, 85, 100) and len(np.setxor1d(a, b)):
+                assert len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
+
+
+def test_representatives(docs, clashing):
+    kept = ngram_join.representatives(clashing)
+    assert kept.columns == clashing.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 0 in ids and not {1, 2, 3} & set(ids) and {5, 6, 7} <= set(ids) and None in ids
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 80), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(51)} | {100: 80, 90: 80, 80: 80}
+
+
+# 8
+
+
+def counts_by_force(text):
+    words = words_of(text)
+    where = collections.defaultdict(list)
+    for i in range(len(words) - 7):
+        where[tuple(words[i : i + 8])].append(i)
+    again = {i + k for at in where.values() if len(at) > 1 for i in at for k in range(8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words_of(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(again)
+
+
+def test_quality_rules(docs, clashing):
+    for df in (docs, clashing):
+        for row, text in zip(quality_rules.verdicts(df.withColumn("doc_id", F.monotonically_increasing_id())).orderBy("doc_id").collect(), [r.text for r in df.withColumn("m", F.monotonically_increasing_id()).orderBy("m").collect()], strict=True):
+            expected = counts_by_force(text)
+            assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == expected
+            assert row.base_failed == (expected[0] < 20 or 100 * expected[4] > 30 * expected[0])
+            assert not (row.base_failed and row.kept)
+
+
+def test_quality_rules_reject_by_fertility(spark):
+    r = random.Random(0)
+    clean = [(i, prose(i, r.randint(150, 160)), "en", "s", 0) for i in range(80)]
+    odd = [(1000, " ".join(w + "&&&" for w in clean[0][1].split()), "en", "s", 0), (1001, " ".join(w + "𐎠𐎡" for w in clean[1][1].split()), None, "s", 0)]
+    got = {x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(clean + odd, SCHEMA)).collect()}
+    assert not got[1000] and not got[1001] and sum(got[i] for i in range(80)) >= 79
+    kept = quality_rules.passing(spark.createDataFrame(clean + odd, SCHEMA))
+    assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")] and {x.doc_id for x in kept.collect()} == {i for i, k in got.items() if k}
+
+
+# 10
+
+
+def test_line_dedup(docs, clashing):
+    for df in (docs, clashing):
+        out = line_dedup.dedup_lines(df)
+        assert out.columns == [*df.columns, "__n_lines", "__n_removed"]
+        got = {r.doc_id: r for r in out.where("doc_id is not null").collect()}
+        line = "A line that many sites repeat in full."
+        assert got[11].text.count(line) == 1 and got[11]["__n_removed"] == 2
+        assert line not in got[14].text and got[15].text == "end"
+        assert got[5].text is None and got[5]["__n_lines"] == 0 and got[6].text == "" and got[7].text == "  \n\t "
+        assert out.count() == df.count()
+
+
+# 7
+
+
+def lev_search(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(pattern, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return row[1:]
+
+
+def test_myers():
+    r = random.Random(1)
+    for _ in range(60):
+        pattern, text = ("".join(r.choice("ab ") for _ in range(n)) for n in (r.randint(1, 90), 100))
+        assert list(decontaminate.Pattern(pattern).scores(text)) == lev_search(pattern, text)
+
+
+def test_decontamination(spark, clashing):
+    r = random.Random(2)
+    items = [(i, prose(500 + i, 30)) for i in range(12)] + [(50, None), (51, "too short"), (52, prose(500, 30))]
+    rows = []
+    for i in range(60):
+        item = decontaminate.reduced(items[i % 12][1])
+        for _ in range(r.randint(0, len(item) // 10)):
+            at = r.randrange(len(item))
+            item = item[:at] + r.choice(["", "q", "zz"]) + item[at + 1 :]
+        rows.append((i, prose(900 + i, 40) + "\n" + (item.upper() if i % 5 else "") + "! " + prose(950 + i, 20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    test = spark.createDataFrame(items, "item_id long, text string")
+    expected = set()
+    for d, text in rows:
+        for i, item in items:
+            item = decontaminate.reduced(item)
+            if len(item) >= decontaminate.MIN_CHARS and (best := min(lev_search(item, decontaminate.reduced(text)))) <= len(item) // decontaminate.ERROR_EVERY:
+                expected.add((d, i, best))
+    got = {(x.doc_id, x.item_id, x.distance) for x in decontaminate.matches(df, test).collect()}
+    assert got == expected and {i for _, i, _ in got} & {0, 52} == {0, 52} and len({d for d, _, _ in got}) < 60
+    kept = decontaminate.clean(df.withColumn("item_id", F.lit(1)), test)
+    assert kept.columns == ["doc_id", "text", "item_id"] and {x.doc_id for x in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in expected}
+    assert decontaminate.matches(clashing, test).count() == 0
+
+
+# 3
+
+
+def test_encoding_is_the_tokenisers(docs):
+    from tokenizers import Tokenizer
+
+    full, words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["Don't it's 'S x<|endoftext|>y İstanbul ΣΑΣ é ﬁ \x1c\x85d 12³ ½ 日本語 １２ ǅ ß\x00", "﻿hi\tthere\r\nnow\x0bok", "a b c d"]
+    for text in [r.text or "" for r in docs.collect()] + odd:
+        if len(text) < 50_000:
+            assert np.frombuffer(words.ids(text), np.uint32).tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(spark, docs, clashing):
+    for df in (docs, clashing):
+        parts = packing.pieces(df, with_ids=True)
+        out = packing.pack(parts, bucket_pieces=7).collect()
+        places = collections.defaultdict(list)
+        for x in out:
+            assert 1 <= x.length <= 4096 and len(x.ids) == 4 * x.length and zlib.crc32(x.ids) == x.ids_crc32
+            places[x.sequence_id].append((x.offset, x.length))
+        for at in places.values():
+            stop = 0
+            for offset, length in sorted(at):
+                assert offset == stop
+                stop += length
+            assert stop <= 4096
+        assert len(out) == parts.count()
+        whole = sorted((x.piece, x.start, x.length) for x in out if x.doc_id == 12)
+        assert all(s == p * 4096 and (n == 4096 or p == len(whole) - 1) for p, s, n in whole)
+        assert [x.length for x in out if x.doc_id == 5] == [1]
+
+
+def test_packing_is_tight():
+    r = np.random.default_rng(0)
+    for lengths in (r.integers(1, 4097, 6000), np.minimum(r.lognormal(6.3, 1.0, 6000).astype(int) + 1, 4096), np.full(900, 1366), np.array([2049] * 50 + [2047] * 50), np.array([7])):
+        sequence, _ = packing.pack_lengths(lengths)
+        used = np.bincount(sequence, lengths)
+        assert used.max() <= 4096
+        large = int((lengths > 2048).sum())
+        least = 450 if set(lengths) == {1366} else max(large, -(-int(lengths.sum()) // 4096))
+        assert len(used) <= 1.02 * least
+
+
+# 4
+
+
+def test_sharding(spark, docs, clashing):
+    many = spark.createDataFrame([(i, prose(i % 400, 5 + i % 90)) for i in range(3000)] + [(10_000 + i, "hot " * 40) for i in range(1500)] + [(5, None)], "doc_id long, text string")
+    for df, each in ((many, 1 << 12), (many, 1 << 30), (docs, 1 << 30), (clashing, 1 << 30)):
+        out = sharding.shard(df, 8, part_bytes=each).collect()
+        assert len(out) == df.count()
+        sizes, slots = collections.Counter(), collections.defaultdict(list)
+        for x in out:
+            assert x["__size"] == len((x.text or "").encode()) + 8
+            sizes[x["__shard"]] += x["__size"]
+            slots[x["__shard"]].append(x["__slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(8))
+        if df is many:
+            most = max(x["__size"] for x in out)
+            assert max(sizes.values()) - min(sizes.values()) <= 2 * (sum(sizes.values()) / 8 * sharding.TOLERANCE + most)
+
+
+# 1 and 2
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rows, labels = [], []
+    for i in range(600):
+        bad, rude = i % 4 == 0, i % 5 == 0
+        text = prose(i, 60 + i % 50)
+        text = text.upper().replace(" ", "!! ") if bad else text
+        rows.append((i, text + (" vile scoundrel" if rude else ""), "en", "s", 0))
+        labels.append((i, int(not bad), int(rude)))
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*labels, (601, None, None), (None, 1, 1)], "doc_id long, quality long, toxic long")
+
+
+@pytest.mark.parametrize(("operator", "column", "cut"), [(quality_model, "quality", 0.3), (toxicity, "toxic", 0.5)])
+def test_classifiers(spark, docs, clashing, labelled, operator, column, cut):
+    texts, labels = labelled
+    truth = {r.doc_id: r[column] for r in labels.collect()}
+    out = operator.scored(texts, labels).collect()
+    held = [r for r in out if r.held_out]
+    assert len(out) == 600 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= cut) for r in out)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+    for df in (docs, clashing):
+        assert operator.scored(df, labels).count() == df.count()
+    none = operator.scored(docs, labels.where("false")).collect()
+    assert len({r.score for r in none}) == 1
+
+
+def test_labels_of_held_out_rows_are_unseen(labelled):
+    texts, labels = labelled
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    swapped = labels.withColumns({c: F.when(held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    for operator in (quality_model, toxicity):
+        a, b = ({r.doc_id: round(r.score, 9) for r in operator.scored(texts, x).collect()} for x in (labels, swapped))
+        assert a == b
+
+
+# 6
+
+
+def test_token_counts(docs, clashing):
+    encoder, width = token_counts.encoding(public_tokenizers.path(token_counts.VOCABULARY))
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id is not null").collect()}
+    for df in (docs, clashing):
+        got = collections.defaultdict(dict)
+        for r in token_counts.counts(df.where("doc_id is not null")).collect():
+            got[r.doc_id][r.section] = r
+        for doc, text in texts.items():
+            raw = text.encode()
+            pieces = [got[doc][i] for i in sorted(got[doc])]
+            assert b"".join(raw[p.start : p.stop] for p in pieces) == raw and [p.start for p in pieces[1:]] == [p.stop for p in pieces[:-1]]
+            tally, at = collections.Counter(), 0
+            for token in encoder.encode_ordinary(text):
+                share = collections.Counter()
+                for b in range(at, at + int(width[token])) if len(pieces) > 1 else ():
+                    share[next(p.section for p in pieces if p.start <= b < p.stop)] += 1
+                tally[min(share, key=lambda s: (-share[s], s)) if share else 0] += 1
+                at += int(width[token])
+            assert all(tally[p.section] == p.n_tokens for p in pieces)
+
+
+def test_crossing_tokens():
+    n, crossing = token_counts.attribute(np.array([2, 4, 2, 3]), np.array([3, 8, 9, 11]))
+    assert n.tolist() == [1, 2, 0, 1] and crossing.tolist() == [0, 1, 0, 1]
+
+
+# 9
+
+
+def test_feistel_is_a_permutation():
+    f = pseudonyms.Feistel(b"k")
+    for n in (1, 2, 3, 10, 73, 1000):
+        images = [f.permute(i, n, "t") for i in range(n)]
+        assert sorted(images) == list(range(n)) and [f.permute(x, n, "t", True) for x in images] == list(range(n))
+
+
+VALID = ["4111 1111 1111 1111", "4111111111111111", "+1 (217) 555-7713", "jo.81@mail7.example.com", "226.203.165.104", "1987-02-28", "31.12.1999", "2/3/2001", "078-05-1120", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", '"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', "+442079460958", "é.7@example.org"]
+INVALID = ["4111111111111112", "256.1.1.1", "1.2.3.4.5", "31.2.2001", "000-12-1234", "GB83 WEST 1234 5698 7654 32", "12345", "1999-13-01"]
+
+
+@pytest.mark.parametrize("value", VALID)
+def test_pseudonym_of(value):
+    p = pseudonyms.Pseudonyms(b"k")
+    new, found = p.replace(f"see {value} here")
+    assert len(found) == 1 and new != f"see {value} here" and pseudonyms.Pseudonyms(b"k", True).replace(new)[0] == f"see {value} here"
+    assert p.replace(f"and\n{value}!")[1][0][3] == found[0][3]  # linked elsewhere
+    assert re.sub(r"\w", "", new) == re.sub(r"\w", "", f"see {value} here")
+    assert pseudonyms.Pseudonyms(b"other").replace(value)[0] != p.replace(value)[0]
+
+
+@pytest.mark.parametrize("value", INVALID)
+def test_invalid_stays(value):
+    assert pseudonyms.Pseudonyms(b"k").replace(f"see {value} here") == (f"see {value} here", [])
+
+
+def test_formats_link():
+    p = pseudonyms.Pseudonyms(b"k")
+    plain = lambda s: re.sub(r"\W", "", p.replace(s)[0])
+    assert plain("4111-1111-1111-1111") == plain("4111111111111111")
+    assert p.replace("JO.81@mail7.example.com")[0].lower() == p.replace("jo.81@MAIL7.example.com")[0].lower()
+
+
+def test_pseudonymised(docs, clashing):
+    for df in (docs, clashing):
+        out = pseudonyms.pseudonymised(df, b"k")
+        assert out.count() == df.count() and {r.n_found for r in out.collect()} == {0}
+        assert sorted((r.text or "" for r in out.collect())) == sorted((r.text or "" for r in df.collect()))
+
+
+# all
+
+
+def test_empty_tables(spark):
+    none = empty(spark)
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        quality_model.scored(none, labels), toxicity.scored(none, labels), packing.pack(packing.pieces(none)), sharding.shard(none), ngram_join.NgramJoin(none).link(), ngram_join.representatives(none),
+        token_counts.counts(none), decontaminate.matches(none, items), decontaminate.clean(none, items), quality_rules.verdicts(none), quality_rules.passing(none), pseudonyms.pseudonymised(none, b"k"), line_dedup.dedup_lines(none),
+    ):
+        assert out.count() == 0
