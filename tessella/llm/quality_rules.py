@@ -7,7 +7,7 @@ its script where the language is unknown or too rare to have a band.
 
 All figures depend on a text's length (a mean over few tokens varies more, the entropy of many is
 higher), so bands hold per language and length class: two classes to each doubling of the token
-count. A band is the median plus or minus ``WIDTH`` robust deviations over all texts of the class
+count. A band is the median plus or minus ``WIDTH`` robust standard deviations over all texts of the class
 that pass the base rules, so it follows the corpus and not a constant; a class too rare for a band
 takes that of its language or script at all lengths. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
 verdict.
@@ -38,6 +38,8 @@ MIN_GROUP = 30
 #: Half width of a band in robust standard deviations, and the least half width by figure.
 WIDTH = 6.0
 LEAST = {"tokens_per_word": 0.02, "chars_per_token": 0.02, "byte_share": 0.02, "entropy": 0.02}
+#: Languages up to which the bands are broadcast (64 rows each at most); beyond, the join shuffles.
+MAX_LANGUAGES = 1_000
 #: A text's band is that of the first of these groups that has one.
 KEYS = (["lang", "length_class"], ["script", "length_class"], ["lang"], ["script"])
 SYMBOLS = "#*$%&|<>"
@@ -128,23 +130,31 @@ def length_class():
 
 
 def bands(figures: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
-    """Per ``keys`` the low and high end of each figure's band; their names begin with the keys'."""
+    """Per ``keys`` the low and high end of each figure's band; their names begin with the keys'.
+
+    A robust standard deviation is the larger distance from the median to the 16th or 84th percentile.
+    """
     group = "_".join(keys)
     usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(keys[0]).isNotNull())
-    middle = usable.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in LEAST]).where(F.col("n") >= MIN_GROUP)
-    spread = usable.join(middle, keys).groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 10_000).alias(f"{c}_mad") for c in LEAST])
-    half = {c: F.greatest(F.lit(least), width * 1.4826 * F.col(f"{c}_mad")) for c, least in LEAST.items()}
-    ends = [e for c in LEAST for e in ((F.col(f"{c}_mid") - half[c]).alias(f"{group}_{c}_low"), (F.col(f"{c}_mid") + half[c]).alias(f"{group}_{c}_high"))]
-    return middle.join(spread, keys).select(*keys, *ends)
+    quantiles = usable.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1587, 0.5, 0.8413], 10_000).alias(c) for c in LEAST])
+    ends = []
+    for c, least in LEAST.items():
+        low, middle, high = (F.col(c)[i] for i in range(3))
+        half = F.greatest(F.lit(least), width * F.greatest(middle - low, high - middle))
+        ends += [(middle - half).alias(f"{group}_{c}_low"), (middle + half).alias(f"{group}_{c}_high")]
+    return quantiles.where(F.col("n") >= MIN_GROUP).select(*keys, *ends)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Per document: id, base counts, figures, ``base_failed`` and ``kept``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     figures = settle(fertility(source)).withColumn("length_class", length_class())
+    # a band table has at most a row for each language or script and length class
+    small = figures.agg(F.count_distinct("lang")).first()[0] <= MAX_LANGUAGES
     out = figures
     for keys in KEYS:
-        out = out.join(bands(figures, keys), keys, "left")
+        found = bands(figures, keys)
+        out = out.join(F.broadcast(found) if small else found, keys, "left")
     inside = F.lit(True)
     for c in LEAST:
         low, high = (F.coalesce(*[f"{group}_{c}_{end}" for group in map("_".join, KEYS)]) for end in ("low", "high"))
