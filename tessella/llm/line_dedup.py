@@ -50,7 +50,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     found = settle(boilerplate(lines, min_sites))
     places = settle(lines.join(found, ["h1", "h2"]).select("h1", "h2", F.struct("id", "key", "pos").alias("at")))
-    first = places.groupBy("h1", "h2").agg(F.min("at").alias("first"))
+    # written, so that the join below has exchanges of its own and a very common line's rows can be split
+    first = settle(places.groupBy("h1", "h2").agg(F.min("at").alias("first")))
     drops = places.join(first, ["h1", "h2"]).where(F.col("at") != F.col("first")).select(F.col("at.key").alias("__key"), F.col("at.pos").alias("pos"))
     drops = drops.groupBy("__key").agg(F.collect_set("pos").alias("__drop"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__drop"), i))
