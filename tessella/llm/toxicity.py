@@ -96,12 +96,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return full, float(weights[-1])
 
 
-def _sample(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """Features of about ``most`` documents by a hash of the id, or of all where there are fewer."""
-    n = docs.count()
-    if n > most:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows by a hash of the id, or all where there are fewer."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
+
+def _featured(docs: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
@@ -118,8 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[np.ndarray
     if not toxic:
         return None, 0.0
     training = docs.where(~held_out())
-    positive = _sample(training.join(known.where("y = 1").select("doc_id").distinct(), "doc_id", "left_semi"), MAX_POSITIVE)
-    unlabelled = _sample(training, MAX_UNLABELLED)
+    # the ids are sampled before the join: about MAX_POSITIVE of them are broadcast and no text is shuffled
+    ids = _some(known.where("y = 1").select("doc_id").distinct(), MAX_POSITIVE)
+    positive = _featured(training.join(F.broadcast(ids), "doc_id", "left_semi"))
+    unlabelled = _featured(_some(training, MAX_UNLABELLED))
     prior = min(0.99, toxic / rows)
     if not positive or not unlabelled:
         return None, prior
