@@ -33,6 +33,8 @@ ROW_BYTES = 8
 #: How far a shard's end may lie from its place, as a share of a shard; and a part's, of a part.
 TOLERANCE, PART_TOLERANCE = 0.0005, 0.1
 PART_BYTES = 32 << 20
+#: Beyond so many parts, parts grow instead: the driver holds a key and up to ``PROBES`` probes for each.
+MAX_PARTS = 24_576
 PROBES = 16
 END = 1 << 128
 
@@ -111,7 +113,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     keyed = docs.withColumns({"__h": F.xxhash64(text_col), "__t": F.xxhash64(id_col), "__size": size})
     keys = settle(keyed.select(F.col("__h").alias("h"), F.col("__t").alias("t"), F.col("__size").alias("size")))
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    each = max(1, math.ceil(total / shards / part_bytes))
+    each = max(1, min(math.ceil(total / shards / part_bytes), MAX_PARTS // shards))
     parts = shards * each
     targets = [(total * i / parts, total / shards * TOLERANCE if i % each == 0 else total / parts * PART_TOLERANCE) for i in range(1, parts)]
     cuts = splitters(keys, targets, (total, rows)) if rows else [(0, 0, 0)] * (parts - 1)
