@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import WordHashes, mixed, settle, windows
 from tessella.llm.graph import components
 
-#: Nodes whose ids may be broadcast (16 bytes each); beyond it the join shuffles.
-BROADCAST_NODES = 1_000_000
+#: Rows of a few numbers that may be broadcast beside their texts; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
 #: Rounds in which nodes without enough n-grams in common with other components are dropped.
 PEELS = 3
 #: Nodes of a block; two blocks at a time are compared in a task.
@@ -188,8 +188,8 @@ class NgramJoin:
         return ordered.mapInArrow(run, "sig long, a long, b long")
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (node, pick and more) with the text of document ``pick``."""
-        if wanted.count() <= BROADCAST_NODES:
+        """``wanted`` (pick and more) with the text of document ``pick``."""
+        if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         return self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("pick"))).drop("doc_id", "pick")
 
@@ -200,12 +200,13 @@ class NgramJoin:
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b: distinct nodes) whose sets are linked."""
         size, num, den = self.size, self.num, self.den
-        counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        # written, so that the join has exchanges of its own and a centre's many rows can be split
+        counts = settle(pairs.groupBy("a").agg(F.count("*").alias("n")))
         pairs = settle(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT)).alias("salt")))
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = self.texts(used.join(self.picks(nodes), "node"))
-        left = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-        right = pairs.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
+        # where each node's text must go, so that texts move once
+        centres = pairs.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
+        wanted = centres.union(pairs.select(F.col("b").alias("node"), "a", "salt", "b"))
+        dealt = self.texts(settle(wanted.join(self.picks(nodes), "node").select("a", "salt", "b", "pick")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, centre, own = Shingles(size), None, None
@@ -221,7 +222,7 @@ class NgramJoin:
                         out.append((x, y))
                 yield _links(out)
 
-        ordered = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        ordered = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return ordered.mapInArrow(run, "u long, v long")
 
     def roots(self) -> tuple[DataFrame, DataFrame]:
