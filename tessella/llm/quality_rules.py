@@ -8,7 +8,8 @@ its script where the language is unknown or too rare to have a band.
 All figures depend on a text's length (a mean over few tokens varies more, the entropy of many is
 higher), so bands hold per language and length class: two classes to each doubling of the token
 count. A band is the median plus or minus ``WIDTH`` robust standard deviations over all texts of the class
-that pass the base rules, so it follows the corpus and not a constant; a class too rare for a band
+that pass the base rules, each distinct text counted once, so it follows the corpus and not a constant
+nor the number of copies; a class too rare for a band
 takes that of its language or script at all lengths. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
 verdict.
 
@@ -136,7 +137,9 @@ def bands(figures: DataFrame, keys: list[str], width: float = WIDTH) -> DataFram
     """
     group = "_".join(keys)
     usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(keys[0]).isNotNull())
-    quantiles = usable.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1587, 0.5, 0.8413], 10_000).alias(c) for c in LEAST])
+    # equal texts have equal figures and weigh as one
+    texts = usable.groupBy(*keys, "text_hash").agg(*[F.min(c).alias(c) for c in LEAST])
+    quantiles = texts.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1587, 0.5, 0.8413], 10_000).alias(c) for c in LEAST])
     ends = []
     for c, least in LEAST.items():
         low, middle, high = (F.col(c)[i] for i in range(3))
@@ -147,8 +150,8 @@ def bands(figures: DataFrame, keys: list[str], width: float = WIDTH) -> DataFram
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Per document: id, base counts, figures, ``base_failed`` and ``kept``."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    figures = settle(fertility(source)).withColumn("length_class", length_class())
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    figures = settle(fertility(source, keep=("doc_id", "lang", "text_hash"))).withColumn("length_class", length_class())
     # a band table has at most a row for each language or script and length class
     small = figures.agg(F.count_distinct("lang")).first()[0] <= MAX_LANGUAGES
     out = figures

@@ -161,6 +161,18 @@ def test_quality_rules_reject_by_fertility(spark):
     assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")] and {x.doc_id for x in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_quality_rules_count_a_text_once(spark):
+    r = random.Random(0)
+    clean = [(i, prose(i, r.randint(150, 160)), "en", "s", 0) for i in range(80)]
+    # copies hold four rows in five, enough to make any quantile of rows theirs
+    copies = [(2000 + i, *clean[0][1:]) for i in range(400)]
+    alone, beside = ({x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(rows, SCHEMA)).collect()} for rows in (clean, clean + copies))
+    assert sum(alone.values()) >= 79
+    assert {i: beside[i] for i in alone} == alone and {beside[i] for i, *_ in copies} == {alone[0]}
+    third = {x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(clean + copies[:40], SCHEMA)).collect()}
+    assert {i: third[i] for i in alone} == alone
+
+
 # 10
 
 
