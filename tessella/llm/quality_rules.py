@@ -9,12 +9,14 @@ All figures depend on a text's length (a mean over few tokens varies more, the e
 higher), so bands hold per language and length class: two classes to each doubling of the token
 count. A band is the median plus or minus ``WIDTH`` robust standard deviations over all texts of the class
 that pass the base rules, each distinct text counted once, so it follows the corpus and not a constant
-nor the number of copies; a class too rare for a band
+nor the number of copies. A robust standard deviation is the median distance from the median, so junk must be
+half of a class to move it far; and in a class, a source with more texts than the median source weighs as
+that one, so a hot source does not set the band. A class too rare for a band
 takes that of its language or script at all lengths. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
 verdict.
 
 Defined results: a null text counts as none (0 words, base_failed); an empty text likewise; a
-null language uses the script's band; repeated rows are judged alike; further columns are ignored
+null language uses the script's band; a null or absent source counts as one source; repeated rows are judged alike; further columns are ignored
 by ``fertility`` and passed on untouched by ``passing``.
 """
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import CACHE_ENTRIES, WordHashes, settle, windows
@@ -39,6 +41,12 @@ MIN_GROUP = 30
 #: Half width of a band in robust standard deviations, and the least half width by figure.
 WIDTH = 6.0
 LEAST = {"tokens_per_word": 0.02, "chars_per_token": 0.02, "byte_share": 0.02, "entropy": 0.02}
+#: Median distance from the median of a normal distribution, in standard deviations.
+MAD = 0.6745
+#: Median and median distance are taken over figures rounded to this step, so they are exact and repeatable.
+STEP = 1 / 1024
+#: Weight of a text in a source that is not too large.
+ONE = 1 << 30
 #: Languages up to which the bands are broadcast (64 rows each at most); beyond, the join shuffles.
 MAX_LANGUAGES = 1_000
 #: A text's band is that of the first of these groups that has one.
@@ -130,33 +138,48 @@ def length_class():
     return F.floor(2 * F.log2(F.col("n_tokens").cast("double")))
 
 
-def bands(figures: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
-    """Per ``keys`` the low and high end of each figure's band; their names begin with the keys'.
-
-    A robust standard deviation is the larger distance from the median to the 16th or 84th percentile.
-    """
-    group = "_".join(keys)
-    usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(keys[0]).isNotNull())
+def histogram(figures: DataFrame, kind: str) -> DataFrame:
+    """(``kind``, length_class, source, figure, step, n): distinct texts by rounded figure; ``kind`` is lang or script."""
+    usable = figures.where(~base_failed() & (F.col("n_tokens") >= MIN_TOKENS) & F.col(kind).isNotNull())
     # equal texts have equal figures and weigh as one
-    texts = usable.groupBy(*keys, "text_hash").agg(*[F.min(c).alias(c) for c in LEAST])
-    quantiles = texts.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1587, 0.5, 0.8413], 10_000).alias(c) for c in LEAST])
+    texts = usable.groupBy(kind, "length_class", "text_hash").agg(F.min("source").alias("source"), *[F.min(c).alias(c) for c in LEAST])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.round(F.col(c) / STEP).cast("long").alias("step")) for c in LEAST]))
+    return texts.select(kind, "length_class", "source", each.alias("x")).groupBy(kind, "length_class", "source", "x.figure", "x.step").agg(F.count("*").alias("n"))
+
+
+def bands(counts: DataFrame, keys: list[str], group: str, width: float = WIDTH) -> DataFrame:
+    """Per ``keys`` the low and high end of each figure's band from a ``histogram``; their names begin with ``group``."""
+    counts = counts.groupBy(*keys, "source", "figure", "step").agg(F.sum("n").alias("n"))
+    sources = counts.where(F.col("figure") == next(iter(LEAST))).groupBy(*keys, "source").agg(F.sum("n").alias("of_source"))
+    groups = sources.groupBy(*keys).agg(F.sum("of_source").alias("n_texts"), F.greatest(F.median("of_source"), MIN_GROUP / F.count("*")).alias("most")).where(F.col("n_texts") >= MIN_GROUP)
+    weight = F.round(F.col("n") * F.least(F.lit(1.0), F.col("most") / F.col("of_source")) * ONE).cast("long")
+    steps = counts.join(sources, [*keys, "source"]).join(groups, keys).groupBy(*keys, "figure", "step").agg(F.sum(weight).alias("w"))
+    whole = Window.partitionBy(*keys, "figure")
+    for value, by in (("middle", F.col("step")), ("spread", F.abs(F.col("step") - F.col("middle")))):
+        below = F.sum("w").over(whole.orderBy(by))
+        steps = steps.withColumn("below", below).withColumn(value, F.min(F.when(F.col("below") >= F.sum("w").over(whole) - F.col("below"), by)).over(whole))
     ends = []
     for c, least in LEAST.items():
-        low, middle, high = (F.col(c)[i] for i in range(3))
-        half = F.greatest(F.lit(least), width * F.greatest(middle - low, high - middle))
+        middle, spread = (F.max(F.when(F.col("figure") == c, F.col(x))) * STEP for x in ("middle", "spread"))
+        half = F.greatest(F.lit(least), width * spread / MAD)
         ends += [(middle - half).alias(f"{group}_{c}_low"), (middle + half).alias(f"{group}_{c}_high")]
-    return quantiles.where(F.col("n") >= MIN_GROUP).select(*keys, *ends)
+    return steps.groupBy(*keys).agg(*ends)
+
+
+def _source(docs: DataFrame, source_col: str):
+    return F.col(source_col).cast("string") if source_col in docs.columns else F.lit(None).cast("string")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, base counts, figures, ``base_failed`` and ``kept``."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    figures = settle(fertility(source, keep=("doc_id", "lang", "text_hash"))).withColumn("length_class", length_class())
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(_source(docs, source_col), F.lit("")).alias("source"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    figures = settle(fertility(source, keep=("doc_id", "lang", "source", "text_hash"))).withColumn("length_class", length_class())
     # a band table has at most a row for each language or script and length class
     small = figures.agg(F.count_distinct("lang")).first()[0] <= MAX_LANGUAGES
+    counts = {kind: settle(histogram(figures, kind)) for kind in ("lang", "script")}
     out = figures
     for keys in KEYS:
-        found = bands(figures, keys)
+        found = bands(counts[keys[0]], keys, "_".join(keys))
         out = out.join(F.broadcast(found) if small else found, keys, "left")
     inside = F.lit(True)
     for c in LEAST:
@@ -167,14 +190,14 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
     return out.withColumn("base_failed", base_failed()).select(*names, "base_failed", kept.alias("kept"), "n_tokens", *LEAST, "lang", "script")
 
 
-def passing(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def passing(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that keep their place, all columns as they were.
 
     Rows meet their verdict by id and a hash of the text, so rows that share an id are told apart.
     """
     key = F.xxhash64(F.col(id_col), F.col(lang_col), F.col(text_col))
     keyed = docs.withColumn("__key", key)
-    rejected = verdicts(keyed.select(F.col("__key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "__key").where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
+    rejected = verdicts(keyed.select(F.col("__key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), _source(docs, source_col).alias("source")), "__key").where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
     return keyed.join(rejected, "__key", "left_anti").select(*docs.columns)
 
 

@@ -173,6 +173,18 @@ def test_quality_rules_count_a_text_once(spark):
     assert {i: third[i] for i in alone} == alone
 
 
+def test_quality_rules_hold_against_a_hot_source(spark):
+    r = random.Random(0)
+    clean = [(i, prose(i, r.randint(150, 160)), "en", f"s{i % 10}", 0) for i in range(80)]
+    odd = [" ".join(w + "&" if r.random() < 0.5 + i % 3 / 10 else w for w in prose(500 + i, 130).split()) for i in range(60)]
+    few = [(1000 + i, t, "en", f"s{i % 10}", 0) for i, t in enumerate(odd[:5])]
+    hot = [(2000 + i, t, "en", "hot", 0) for i, t in enumerate(odd[5:])]
+    got = {x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(clean + few + hot, SCHEMA)).collect()}
+    assert sum(got[i] for i in range(80)) >= 79 and not any(got[i] for i, *_ in few + hot)
+    none = quality_rules.verdicts(spark.createDataFrame(clean, SCHEMA).drop("source")).collect()
+    assert sum(x.kept for x in none) >= 79
+
+
 # 10
 
 
