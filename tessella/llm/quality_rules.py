@@ -11,8 +11,9 @@ count. A band is the median plus or minus ``WIDTH`` robust standard deviations o
 that pass the base rules, each distinct text counted once, so it follows the corpus and not a constant
 nor the number of copies. A robust standard deviation is the median distance from the median, so junk must be
 half of a class to move it far; and in a class, a source with more texts than the median source weighs as
-that one, so a hot source does not set the band. A class too rare for a band
-takes that of its language or script at all lengths. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
+that one, so a hot source does not set the band. A class too
+rare for a band takes that of itself and its neighbours, then that of its language at all lengths; only a
+language without any band takes its script's. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
 verdict.
 
 Defined results: a null text counts as none (0 words, base_failed); an empty text likewise; a
@@ -49,8 +50,9 @@ STEP = 1 / 1024
 ONE = 1 << 30
 #: Languages up to which the bands are broadcast (64 rows each at most); beyond, the join shuffles.
 MAX_LANGUAGES = 1_000
-#: A text's band is that of the first of these groups that has one.
-KEYS = (["lang", "length_class"], ["script", "length_class"], ["lang"], ["script"])
+#: A text's band is that of the first of these groups that has one; the number is how many length classes
+#: to either side count as the text's own, None all of them.
+GROUPS = (("lang", 0), ("lang", 1), ("lang", None), ("script", 0), ("script", None))
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, tokens_per_word double, chars_per_token double, byte_share double, entropy double, script string"
@@ -147,8 +149,14 @@ def histogram(figures: DataFrame, kind: str) -> DataFrame:
     return texts.select(kind, "length_class", "source", each.alias("x")).groupBy(kind, "length_class", "source", "x.figure", "x.step").agg(F.count("*").alias("n"))
 
 
-def bands(counts: DataFrame, keys: list[str], group: str, width: float = WIDTH) -> DataFrame:
-    """Per ``keys`` the low and high end of each figure's band from a ``histogram``; their names begin with ``group``."""
+def bands(counts: DataFrame, kind: str, reach: int | None, group: str, width: float = WIDTH) -> DataFrame:
+    """The low and high end of each figure's band from a ``histogram``, per ``kind`` and, unless ``reach`` is None, length class.
+
+    The ends' names begin with ``group``.
+    """
+    keys = [kind] if reach is None else [kind, "length_class"]
+    if reach:
+        counts = counts.withColumn("length_class", F.explode(F.sequence(F.col("length_class") - reach, F.col("length_class") + reach)))
     counts = counts.groupBy(*keys, "source", "figure", "step").agg(F.sum("n").alias("n"))
     sources = counts.where(F.col("figure") == next(iter(LEAST))).groupBy(*keys, "source").agg(F.sum("n").alias("of_source"))
     groups = sources.groupBy(*keys).agg(F.sum("of_source").alias("n_texts"), F.greatest(F.median("of_source"), MIN_GROUP / F.count("*")).alias("most")).where(F.col("n_texts") >= MIN_GROUP)
@@ -178,12 +186,12 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
     small = figures.agg(F.count_distinct("lang")).first()[0] <= MAX_LANGUAGES
     counts = {kind: settle(histogram(figures, kind)) for kind in ("lang", "script")}
     out = figures
-    for keys in KEYS:
-        found = bands(counts[keys[0]], keys, "_".join(keys))
-        out = out.join(F.broadcast(found) if small else found, keys, "left")
+    for i, (kind, reach) in enumerate(GROUPS):
+        found = bands(counts[kind], kind, reach, f"band{i}")
+        out = out.join(F.broadcast(found) if small else found, [kind] if reach is None else [kind, "length_class"], "left")
     inside = F.lit(True)
     for c in LEAST:
-        low, high = (F.coalesce(*[f"{group}_{c}_{end}" for group in map("_".join, KEYS)]) for end in ("low", "high"))
+        low, high = (F.coalesce(*[f"band{i}_{c}_{end}" for i in range(len(GROUPS))]) for end in ("low", "high"))
         inside = inside & F.coalesce(F.col(c).between(low, high), F.lit(True))
     kept = ~F.col("base_failed") & ((F.col("n_tokens") < MIN_TOKENS) | inside)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

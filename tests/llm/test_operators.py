@@ -185,6 +185,15 @@ def test_quality_rules_hold_against_a_hot_source(spark):
     assert sum(x.kept for x in none) >= 79
 
 
+def test_quality_rules_judge_a_minority_language_by_itself(spark):
+    r = random.Random(0)
+    most = [(i, prose(i, r.randint(150, 160)), "en", f"s{i % 10}", 0) for i in range(80)]
+    # too few for a band in any one length class, enough over neighbouring ones or all
+    least = [(1000 + i, "".join({"e": "ë", "i": "ï"}.get(c, c) for c in prose(1000 + i, n)), "xx", f"s{i % 10}", 0) for i, n in enumerate([110, 150, 210, 300] * 12)]
+    got = {x.doc_id: x.kept for x in quality_rules.verdicts(spark.createDataFrame(most + least, SCHEMA)).collect()}
+    assert sum(got[i] for i, *_ in most) >= 79 and sum(got[i] for i, *_ in least) >= 47
+
+
 # 10
 
 
