@@ -351,11 +351,19 @@ def _open(members: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each component, the one with the least id; all columns as they were.
 
-    Documents without words stay. Of rows that share the component's id each stays.
+    Rows are told apart by id and a hash of id and text: an id may stand for several texts, a null id
+    comes after all others, and of rows equal in id and text one stays. Documents without words stay.
     """
-    found = NgramJoin(docs, id_col=id_col, text_col=text_col, **how).link()
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__key").alias("key"))
+    found = settle(NgramJoin(keyed.withColumn("__row", name), id_col="__row", text_col=text_col, **how).link())
+    key, least = F.col("doc_id.key").alias("__key"), F.col("doc_id") == F.col("component_id")
+    gone = found.where(~least).select(key).distinct()
+    again = settle(found.where(least & (F.col("n_shingles") > 0)).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select("__key"))
+    if again.isEmpty():
+        return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
+    once = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(gone.union(again), "__key", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,17 @@ def test_representatives(docs, clashing):
     assert 0 in ids and not {1, 2, 3} & set(ids) and {5, 6, 7} <= set(ids) and None in ids
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    a, b, c, d, e = (prose(70 + i, 60) for i in range(5))
+    rows = [(3, b), (7, b), (7, a), (None, c), (None, c), (None, c + " tail"), (9, d), (9, d), (None, d), (1, b[:50]), (1, e), (7, e), (1, ""), (1, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows)], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in ngram_join.representatives(df).collect()]
+    nulls = [t for i, t in kept if i is None and t]
+    assert len(nulls) == 1 and nulls[0] in (c, c + " tail")
+    expected = [(3, b), (7, a), (9, d), (1, b[:50]), (1, e), (1, ""), (1, ""), (None, None)]
+    assert collections.Counter(x for x in kept if x[0] is not None or not x[1]) == collections.Counter(expected)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 90), (90, 80), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
