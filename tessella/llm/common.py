@@ -1,4 +1,4 @@
-"""What the operators share: durable intermediate tables, words and word hashes."""
+"""What the operators share: durable intermediate tables, row keys, names, words and word hashes."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a task's cache may hold before it is emptied; bounds memory, changes no result.
@@ -17,11 +19,17 @@ CACHE_ENTRIES = 300_000
 MASK = (1 << 64) - 1
 
 
+#: Where each settled table that is still in use lies.
+PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark is local (tests), a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     where = tempfile.mkdtemp(prefix="tessella-")
     atexit.register(shutil.rmtree, where, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", where)
@@ -35,7 +43,35 @@ def settle(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        if path := PATHS.pop(df, None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_key(*columns: str) -> Column:
+    """A 128-bit hash of columns as a struct of two numbers; nulls are told from values."""
+    cells = [c for name in columns for c in (F.col(name).isNull(), F.col(name))]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("second"), *cells).alias("b"))
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``taken`` holds (in any case)."""
+    held = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def held_out(id_col: str = "doc_id"):
