@@ -10,9 +10,11 @@ each size share a sequence) that use the fewest sequences in the linear relaxati
 is taken. Actual pieces replace the rounded ones, and what is left, large and small, goes by best
 fit in descending length into the gaps, then into new sequences.
 
-Defined results: a null or empty text is the end id alone (length 1); rows that share an id are
-packed one by one; ties in length are broken by the order of (id, piece); further columns are
-ignored unless ``with_ids`` asks for the ids themselves.
+Defined results: a null or empty text is the end id alone (length 1); a very long text is encoded
+whole and cut; rows that share an id, or are equal in all, are packed one by one; ties in length are
+broken by the order of (id, piece); an empty table gives an empty result. Further columns of documents
+are left out (``with_ids`` adds the ids themselves); those of ``parts`` pass through, and where one is
+named as a new column, underscores go before the new one's name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import CACHE_ENTRIES, settle
+from tessella.llm.common import CACHE_ENTRIES, settle, unused
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -53,7 +55,7 @@ class Words(dict):
     The vocabulary drops white space and never merges across it, so a text's ids are those of its
     stretches in turn. A stretch is cut by the vocabulary's own pattern into parts, and each part goes
     through its merges once while it stays in the cache. Stretches that need more than lower-casing
-    (other normal forms, special tokens) take the tokeniser's full way.
+    (other normal forms, special tokens, control characters) take the tokeniser's full way.
     """
 
     def __init__(self, path: str):
@@ -83,7 +85,7 @@ class Words(dict):
             self.clear()
             self[""] = b""
         plain = stretch.isascii()
-        if "<|" in stretch or not (plain or unicodedata.is_normalized("NFC", stretch) and stretch.isprintable()):
+        if "<|" in stretch or not (stretch.isprintable() and (plain or unicodedata.is_normalized("NFC", stretch))):
             value = array("I", self.full.encode(stretch, add_special_tokens=False).ids).tobytes()
         else:
             low = stretch.lower() if plain or "Σ" not in stretch else "".join(map(str.lower, stretch))
@@ -97,7 +99,9 @@ class Words(dict):
         return value
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        for space in "\n\t\r":
+            text = text.replace(space, " ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
@@ -255,21 +259,24 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GR
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
-    """``parts`` (doc_id, piece, length and more) with ``sequence_id`` and ``offset``.
+    """``parts`` (doc_id, piece, length and more) with ``sequence_id`` and ``offset`` as last columns.
 
-    A bucket numbers its sequences from its own multiple of 2**32.
+    A bucket numbers its sequences from its own multiple of 2**32. Pieces are dealt by their place in
+    the written table, so that equal rows spread like any others.
     """
+    parts = settle(parts)
     buckets = max(1, math.ceil(parts.count() / bucket_pieces))
-    dealt = parts.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    bucket, sequence_id, offset_col = unused(parts.columns, "bucket", "sequence_id", "offset")
+    dealt = parts.withColumn(bucket, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
         sequence, offset = pack_lengths(frame["length"].to_numpy(), capacity)
-        return frame.assign(sequence_id=frame["__bucket"] * 2**32 + sequence, offset=offset).drop(columns="__bucket")
+        return frame.assign(**{sequence_id: frame[bucket] * 2**32 + sequence, offset_col: offset}).drop(columns=bucket)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
-    return dealt.groupBy("__bucket").applyInPandas(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + f", `{sequence_id}` long, `{offset_col}` long"
+    return dealt.groupBy(bucket).applyInPandas(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(settle(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
