@@ -4,14 +4,18 @@ Rows are ordered by (hash of the text, hash of the id): equal texts lie side by
 wanted boundary the driver holds an interval of keys that surrounds it. Each round sends a few
 probes per open interval to all partitions of a narrow table (key, size), which count the exact
 bytes and rows below each; the intervals shrink until a probe is within tolerance of its boundary.
+The driver holds so many keys for each boundary between shards, whatever the size of the corpus.
 Then the documents are exchanged once, each straight to its place.
 
-Shards are cut further into parts, so that no task holds a shard: a row's slot is the number of rows
-of its shard below its part, known from the histogram, plus its rank in the part. A boundary falls
-between two texts where tolerance allows and inside a group of equal texts only where it must.
+Shards are dealt further, by a hash of the row, into parts of bounded size, so that no task holds a
+shard and equal texts spread: a row's slot is the number of rows in its shard's earlier parts, counted
+in the narrow table, plus its rank in its part. A boundary falls between two texts where tolerance
+allows and inside a group of equal texts only where it must.
 
-Defined results: a null text has 0 bytes; rows equal in text and id are not told apart and stay in
-one part; an empty table gives an empty result; further columns pass through.
+Defined results: a null text has 0 bytes; a null id is one more id; rows equal in text and id are not
+told apart and stay in one part, a very long text is one row of its part; an empty table gives an
+empty result; further columns pass through, and where one is named as a new column, underscores go
+before the new one's name.
 """
 
 from __future__ import annotations
@@ -20,21 +24,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle
+from tessella.llm.common import discard, settle, unused
 
 SHARDS = 24
 #: Bytes a row counts beside those of its text.
 ROW_BYTES = 8
-#: How far a shard's end may lie from its place, as a share of a shard; and a part's, of a part.
-TOLERANCE, PART_TOLERANCE = 0.0005, 0.1
+#: How far a shard's end may lie from its place, as a share of a shard.
+TOLERANCE = 0.0005
 PART_BYTES = 32 << 20
-#: Beyond so many parts, parts grow instead: the driver holds a key and up to ``PROBES`` probes for each.
-MAX_PARTS = 24_576
 PROBES = 16
 END = 1 << 128
 
@@ -107,37 +108,39 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]], total: tuple[
     return [found[i] for i in range(len(targets))]
 
 
+def _shard_of(cuts: list[int], h: Column, t: Column) -> Column:
+    """How many of the cuts lie at or below the key (h, t)."""
+    halves = [((k >> 64) - (1 << 63), (k & (1 << 64) - 1) - (1 << 63)) for k in cuts]
+    return sum((((h > a) | ((h == a) & (t >= b))).cast("int") for a, b in halves), F.lit(0))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with ``__size``, ``__shard`` and ``__slot``."""
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + ROW_BYTES
-    keyed = docs.withColumns({"__h": F.xxhash64(text_col), "__t": F.xxhash64(id_col), "__size": size})
-    keys = settle(keyed.select(F.col("__h").alias("h"), F.col("__t").alias("t"), F.col("__size").alias("size")))
+    """``docs`` with ``size``, ``shard`` and ``slot`` as last columns."""
+    size_of = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + ROW_BYTES
+    size, shard_no, slot, h, t, part, first = unused(docs.columns, "size", "shard", "slot", "h", "t", "part", "first")
+    keyed = docs.withColumns({h: F.xxhash64(text_col), t: F.xxhash64(F.col(id_col).isNull(), F.col(id_col)), size: size_of})
+    keys = settle(keyed.select(F.col(h).alias("h"), F.col(t).alias("t"), F.col(size).alias("size")))
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    each = max(1, min(math.ceil(total / shards / part_bytes), MAX_PARTS // shards))
-    parts = shards * each
-    targets = [(total * i / parts, total / shards * TOLERANCE if i % each == 0 else total / parts * PART_TOLERANCE) for i in range(1, parts)]
-    cuts = splitters(keys, targets, (total, rows)) if rows else [(0, 0, 0)] * (parts - 1)
-    for i in range(1, len(cuts)):  # neighbours within tolerance of each other keep their order
-        cuts[i] = max(cuts[i], cuts[i - 1])
-    packed = _packed([k for k, _, _ in cuts])
-    below = [0, *(r for _, _, r in cuts)]
-    base = [below[i] - below[i - i % each] for i in range(parts)]
-
-    @F.pandas_udf("int")
-    def part_of(h: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(packed, _keys(h.to_numpy(), t.to_numpy()), "right").astype(np.int32))
-
-    @F.pandas_udf("long")
-    def first_slot(part: pd.Series) -> pd.Series:
-        return pd.Series(np.array(base, np.int64)[part.to_numpy()])
-
-    placed = keyed.withColumn("__part", part_of("__h", "__t")).withColumn("__base", first_slot("__part"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy("__h", "__t", "__size"))
-    out = placed.withColumn("__slot", F.col("__base") + rank - 1).withColumn("__shard", F.floor(F.col("__part") / each).cast("int"))
-    return out.select(*docs.columns, "__size", "__shard", "__slot")
+    targets = [(total * i / shards, total / shards * TOLERANCE) for i in range(1, shards)]
+    cuts = sorted(k for k, _, _ in splitters(keys, targets, (total, rows))) if rows else []
+    each = max(1, math.ceil(total / shards / part_bytes))
+
+    def place(h: Column, t: Column) -> tuple[Column, Column]:
+        return _shard_of(cuts, h, t), F.pmod(F.xxhash64(h, t), F.lit(each)).cast("int")
+
+    shard_at, part_at = place(F.col("h"), F.col("t"))
+    counts = keys.groupBy(shard_at.alias(shard_no), part_at.alias(part)).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(shard_no).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = settle(counts.select(shard_no, part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(first)))
+    discard(keys)
+    shard_at, part_at = place(F.col(h), F.col(t))
+    rank = F.row_number().over(Window.partitionBy(shard_no, part).orderBy(h, t))
+    # the join is on the window's keys, so documents are exchanged once
+    ranked = keyed.withColumns({shard_no: shard_at, part: part_at}).withColumn(slot, rank).join(bases, [shard_no, part])
+    return ranked.select(*docs.columns, size, shard_no, (F.col(first) + F.col(slot) - 1).alias(slot))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return out.select("doc_id", F.col("__size").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
