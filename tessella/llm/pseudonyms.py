@@ -1,18 +1,22 @@
 """Operator 9, PII: format-preserving Feistel pseudonyms.
 
 Validated values (card numbers by Luhn, IBANs by their remainder, IPv4 addresses, telephone numbers,
-US social security numbers, calendar dates, hexadecimal secrets, e-mail names) are read as one
+US social security numbers, calendar dates, hexadecimal secrets, access keys, e-mail names) are read as one
 number of a finite range, permuted within that range by a keyed Feistel network, and written back
 into the same format: the same separators, lengths, letter case, and valid check digits. A value has
 the same pseudonym wherever and however it is written, so documents stay linked, and the holder of
 the key can undo it. What fails validation is left alone.
 
 Dates from 1900 to 2099 map to such dates; 1/2/2003 is read as month/day, or as day/month where the
-former is no date. An e-mail's domain and a telephone number's country code stay.
-
-Defined results: a null text stays null, an empty one empty, both without finds; rows that share an
-id are treated one by one; overlapping candidates are taken from the left, in the order of the
-pattern; further columns are ignored.
+former is no date; a time after a date stays. An e-mail's domain, a telephone number's country code and
+an access key's prefix stay. Of ten digits without a country code, those of a North American number become such a number, and
+others another, in every spelling. Hexadecimal secrets are taken after a quote, equals sign or colon; other
+kinds of secrets (passwords in words, keys of further vendors) are not looked for.
+
+Defined results: a null text stays null, an empty one empty, both without finds; a very long text or
+value is treated whole; rows that share an id are treated one by one; overlapping candidates are taken
+from the left, in the order of the pattern; an empty table gives an empty result; further columns,
+however named, are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +39,22 @@ DEMO_KEY = b"a key for demonstration only"
 PATTERN = re.compile(
     r"""
       (?P<email>(?<![\w.+-])[^\W_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-    | (?P<secret>(?<=[="'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))
+    | (?P<secret>(?:(?<=[="':])|(?<=[=:]\ ))(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))
+    | (?P<token>(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36})(?!\w))
     | (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
     | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)
-              |(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\w+])\+\d{9,15}(?!\d))
+              |(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\w+])\+\d{9,15}(?!\d)
+              |(?<![\w.+-])\d{3}(?P<gap>[.-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d))
     | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-    | (?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w-]))
+    | (?P<date>(?<![\w.-])(?:(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?:(?=T\d{2}:)|(?![\w-]))|\d{1,2}(?P<mark>[./-])\d{1,2}(?P=mark)\d{4}(?![\w-])))
     | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    | (?P<card>(?<![\w.-])(?:\d{4}([ -])\d{4}\9\d{4}\9\d{1,7}|\d{4}([ -])\d{6}\10\d{5}|\d{13,19})(?![\w]|[.-]\d))
+    | (?P<card>(?<![\w.-])(?:\d{4}(?P<four>[ -])\d{4}(?P=four)\d{4}(?P=four)\d{1,7}|\d{4}(?P<six>[ -])\d{6}(?P=six)\d{5}|\d{13,19})(?![\w]|[.-]\d))
     """,
     re.VERBOSE,
 )
-#: Every valid value has a digit or an at sign; most of a text is never searched for more.
-HINT = re.compile(r"[\d@]")
+KINDS = ("email", "secret", "token", "iban", "phone", "ip", "date", "ssn", "card")
+#: Every valid value has one of these; most of a text is never searched for more.
+HINT = re.compile(r"[\d@]|A[KS]IA|gh[oprsu]_")
 #: What may go on a value after a space: a token with a digit, capital or bracket.
 MORE = re.compile(r" [^\s\dA-Z(+]*[\dA-Z(+]\S*")
 RESULT = "doc_id {}, n_found long, text string, found array<struct<kind:string,start:int,stop:int,pseudonym:string>>"
@@ -59,17 +66,22 @@ class Feistel:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
-    def _round(self, i: int, x: int, tweak: str) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{x:x}".encode(), key=self.key, digest_size=64).digest(), "big")
+    def _round(self, i: int, x: int, tweak: str, size: int) -> int:
+        """A number drawn from so many bits that it is even below ``size``."""
+        need = size.bit_length() // 8 + 17
+        message = f"{tweak}|{i}|{x:x}".encode()
+        if need <= 64:
+            return int.from_bytes(hashlib.blake2b(message, key=self.key, digest_size=64).digest(), "big")
+        return int.from_bytes(hashlib.shake_256(self.key + message).digest(need), "big")
 
     def _once(self, x: int, a: int, b: int, tweak: str, back: bool) -> int:
         left, right = divmod(x, b)
         for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
             # even rounds move the left half, odd ones the right
             if i % 2 == 0:
-                left = (left + (-1 if back else 1) * self._round(i, right, tweak)) % a
+                left = (left + (-1 if back else 1) * self._round(i, right, tweak, a)) % a
             else:
-                right = (right + (-1 if back else 1) * self._round(i, left, tweak)) % b
+                right = (right + (-1 if back else 1) * self._round(i, left, tweak, b)) % b
         return left * b + right
 
     def permute(self, x: int, size: int, tweak: str, back: bool = False) -> int:
@@ -92,6 +104,7 @@ def iban_digits(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+NORTH_AMERICAN = re.compile(r"[2-9]\d\d[2-9]\d{6}").fullmatch
 LETTERS = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "x": "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"}
 
 
@@ -146,7 +159,14 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text[at:])
         if not 6 <= len(digits) <= 14:
             return None
-        return text[:at] + _refill(text[at:], self.digits(digits, "phone|" + (code[1] if code else "")))
+        tweak = "phone|" + (code[1] if code else "")
+        new = self.digits(digits, tweak)
+        while not code and bool(NORTH_AMERICAN(digits)) != bool(NORTH_AMERICAN(new)):
+            new = self.digits(new, tweak)
+        return text[:at] + _refill(text[at:], new)
+
+    def token(self, text: str) -> str:
+        return text[:4] + self.characters(text[4:], "token|" + text[:4])
 
     def ip(self, text: str) -> str | None:
         parts = [int(x) for x in text.split(".")]
@@ -204,8 +224,9 @@ class Pseudonyms:
         """The text with pseudonyms, and (kind, start, stop, pseudonym) by place in the old text."""
         out, found, at = [], [], 0
         for m in (m for start, stop in regions(text) for m in PATTERN.finditer(text, start, stop)):
-            if (new := self.of(m.lastgroup, m[0])) is not None:
-                found.append((m.lastgroup, m.start(), m.end(), new))
+            kind = next(k for k in KINDS if m[k] is not None)
+            if (new := self.of(kind, m[0])) is not None:
+                found.append((kind, m.start(), m.end(), new))
                 out += text[at : m.start()], new
                 at = m.end()
         return "".join(out) + text[at:], found
