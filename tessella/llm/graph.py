@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import settle
+from tessella.llm.common import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # written, so that the join has exchanges of its own and a node with very many edges can be split
+    low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    out = settle(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+    discard(low)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = settle(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(low, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    out = settle(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+    discard(low)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long): root is the least node of its component."""
     current, before = settle(edges.select("u", "v").where("u != v").distinct()), None
     while True:
-        current = settle(_small_star(_large_star(current)))
+        large = _large_star(current)
+        small = _small_star(large)
+        discard(current, large)
+        current = small
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
