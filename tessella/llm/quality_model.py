@@ -1,14 +1,19 @@
 """Operator 1, quality classifier: regularised quadratic discriminant analysis.
 
-A document becomes a vector of transformed statistics (logs of counts, logits of shares). Per class
-the mean and covariance come from sums over all labelled training rows, made by the executors; the
+A document becomes a vector of transformed statistics (logs of counts, logits of shares), rounded to
+multiples of 1 / ``FIXED``. Per class the mean and covariance come from sums over the labelled training
+rows, made by the executors in whole numbers, so that they don't depend on the order of rows. The
 covariance shrinks towards the pooled one and towards a multiple of the identity. A score is the
 posterior from the difference of two Gaussian log densities, whose Mahalanobis distances use the
 inverse Cholesky factors, made once on the driver and kept by every task.
 
+The fit uses at most about ``max_labelled`` labelled rows, chosen by a hash of their ids beyond that (the
+documented bound); scores cover every document, each in whole however long.
+
 Defined results: a null text counts as empty and is scored like one; a null label is no label; rows
-that share an id are scored one by one, and a label counts for each of them; without rows of both
-classes every score is the prior (0.5 without any label). Further columns are ignored.
+that share an id are scored one by one, and a label counts for each of them; repeated labels count once; without two rows of each
+class every score is the prior (0.5 without any label); an empty table gives an empty result. Further
+columns, however named, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ POOL, RIDGE = 0.05, 0.01
 CUT = 0.3
 EPS = 1e-3
 N_FEATURES = 16
+#: Steps to one in which statistics are kept.
+FIXED = 1 << 14
+#: Labelled rows that a fit broadcasts: 16 bytes each.
+MAX_LABELLED = 1_000_000
 
 
 def _logit(x: float) -> float:
@@ -59,20 +68,21 @@ def statistics(text: str, hashes: WordHashes) -> list[float]:
 
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x)"""
+    """(doc_id, x): the statistics in steps of 1 / ``FIXED``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            x = [statistics(t or "", hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            x = np.array([statistics(t or "", hashes) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
+            steps = pa.array(np.rint(x * FIXED).astype(np.int32).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), steps)], names=["doc_id", "x"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<int>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, N_FEATURES)
+def _steps(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, N_FEATURES).astype(np.int64)
 
 
 class Discriminant:
@@ -104,35 +114,42 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -35, 35)))
 
 
-def fit(features: DataFrame, labels: DataFrame, label_col: str) -> Discriminant:
-    """Learns from the rows of ``labels`` (doc_id, ``label_col``) that aren't held out: all of them."""
+def some(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows by a hash of the id, or all where there are fewer."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit("some"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def fit(features: DataFrame, labels: DataFrame, label_col: str, max_labelled: int = MAX_LABELLED) -> Discriminant:
+    """Learns from the rows of ``labels`` (doc_id, ``label_col``) that aren't held out."""
     known = labels.where(~held_out()).where(F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
+    known = some(known.distinct(), max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2))
+        total = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2), np.int64)
         for batch in batches:
-            y, x = np.asarray(batch.column("y")), _matrix(batch.column("x"))
+            y, x = np.asarray(batch.column("y")), _steps(batch.column("x"))
             for c in (0, 1):
                 own = x[y == c]
                 total[c] += np.r_[len(own), own.sum(0), (own.T @ own).ravel()]
         at = np.arange(total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], len(at)), pa.int32()), pa.array(np.tile(at, 2), pa.int32()), pa.array(total.ravel())], names=["y", "at", "v"])
 
-    parts = features.join(known, "doc_id").select("y", "x").mapInArrow(run, "y int, at int, v double")
+    parts = features.join(F.broadcast(known), "doc_id").select("y", "x").mapInArrow(run, "y int, at int, v long")
     sums = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2))
-    for y, at, v in parts.groupBy("y", "at").agg(F.sum("v")).collect():
-        sums[y, at] = v
+    for y, at, v in parts.groupBy("y", "at").agg(F.sum(F.col("v").cast("decimal(20,0)"))).collect():
+        sums[y, at] = float(v) / FIXED ** (0 if at == 0 else 1 if at <= N_FEATURES else 2)
     return Discriminant({c: (s[0], s[1 : 1 + N_FEATURES], s[1 + N_FEATURES :].reshape(N_FEATURES, N_FEATURES)) for c, s in enumerate(sums)})
 
 
-def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cut: float = CUT) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", cut: float = CUT, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) per document."""
     features = settle(featured(docs))
-    model = fit(features, labels, label_col)
+    model = fit(features, labels, label_col, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(_matrix(batch.column("x"))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(_steps(batch.column("x")) / FIXED))], names=["doc_id", "score"])
 
     out = features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
