@@ -16,9 +16,11 @@ rare for a band takes that of itself and its neighbours, then that of its langua
 language without any band takes its script's. Texts under ``MIN_TOKENS`` tokens are too short to judge and keep the base
 verdict.
 
-Defined results: a null text counts as none (0 words, base_failed); an empty text likewise; a
-null language uses the script's band; a null or absent source counts as one source; repeated rows are judged alike; further columns are ignored
-by ``fertility`` and passed on untouched by ``passing``.
+Defined results: a null text counts as none (0 words, base_failed); an empty text likewise; a very long
+text is encoded whole; a null language uses the script's band; a null or absent source counts as one
+source; repeated rows are judged alike; an empty table gives an empty result; further columns are ignored
+by ``verdicts`` and passed on untouched by ``passing``. Verdicts depend on the rows alone, not on how they
+are dealt to tasks: bands come from whole counts of rounded figures.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import CACHE_ENTRIES, WordHashes, settle, windows
+from tessella.llm.common import CACHE_ENTRIES, WordHashes, discard, row_key, settle, unused, windows
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 8
@@ -48,8 +50,6 @@ MAD = 0.6745
 STEP = 1 / 1024
 #: Weight of a text in a source that is not too large.
 ONE = 1 << 30
-#: Languages up to which the bands are broadcast (64 rows each at most); beyond, the join shuffles.
-MAX_LANGUAGES = 1_000
 #: A text's band is that of the first of these groups that has one; the number is how many length classes
 #: to either side count as the text's own, None all of them.
 GROUPS = (("lang", 0), ("lang", 1), ("lang", None), ("script", 0), ("script", None))
@@ -180,15 +180,16 @@ def _source(docs: DataFrame, source_col: str):
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: id, base counts, figures, ``base_failed`` and ``kept``."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(_source(docs, source_col), F.lit("")).alias("source"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.coalesce(_source(docs, source_col), F.lit("")).alias("source"), row_key(text_col).alias("text_hash"))
     figures = settle(fertility(source, keep=("doc_id", "lang", "source", "text_hash"))).withColumn("length_class", length_class())
-    # a band table has at most a row for each language or script and length class
-    small = figures.agg(F.count_distinct("lang")).first()[0] <= MAX_LANGUAGES
     counts = {kind: settle(histogram(figures, kind)) for kind in ("lang", "script")}
     out = figures
     for i, (kind, reach) in enumerate(GROUPS):
-        found = bands(counts[kind], kind, reach, f"band{i}")
-        out = out.join(F.broadcast(found) if small else found, [kind] if reach is None else [kind, "length_class"], "left")
+        # written, so that Spark knows a band table's size: it broadcasts a small one, and beside a large one
+        # splits the rows of a language that holds most of them
+        found = settle(bands(counts[kind], kind, reach, f"band{i}"))
+        out = out.join(found, [kind] if reach is None else [kind, "length_class"], "left")
+    discard(*counts.values())
     inside = F.lit(True)
     for c in LEAST:
         low, high = (F.coalesce(*[f"band{i}_{c}_{end}" for i in range(len(GROUPS))]) for end in ("low", "high"))
@@ -201,12 +202,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
 def passing(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that keep their place, all columns as they were.
 
-    Rows meet their verdict by id and a hash of the text, so rows that share an id are told apart.
+    Rows meet their verdict by a hash of id, language and text, so rows that share an id are told apart.
     """
-    key = F.xxhash64(F.col(id_col), F.col(lang_col), F.col(text_col))
-    keyed = docs.withColumn("__key", key)
-    rejected = verdicts(keyed.select(F.col("__key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), _source(docs, source_col).alias("source")), "__key").where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(rejected, "__key", "left_anti").select(*docs.columns)
+    key = unused(docs.columns, "key")[0]
+    keyed = docs.withColumn(key, row_key(id_col, lang_col, text_col))
+    judged = verdicts(keyed.select(F.col(key), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), _source(docs, source_col).alias("source")), key)
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ follows from its length in the vocabulary; the spans are interval-joined to the
 (its lines, each with the line feed that ends it). A token that crosses a boundary goes to the
 section that holds most of its bytes, the earlier one of equals.
 
-Defined results: a null or empty text has one empty section (0) without tokens; rows that share an
-id each give their sections; further columns are ignored.
+Defined results: a null or empty text has one empty section (0) without tokens; a very long text is
+encoded whole; a null id is an id; rows that share an id, or are equal in all, each give their sections;
+an empty table gives an empty result; further columns, however named, are ignored.
 """
 
 from __future__ import annotations
