@@ -15,7 +15,7 @@ from tessella.llm import decontaminate, line_dedup, ngram_join, packing, pseudon
 from tessella.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = SCHEMA + ", sig long, node long, root long, id long, pos int, key long, x int, y int, bytes long, bin int"
+CLASH = SCHEMA + ", sig long, node long, root long, id long, pos int, key long, x int, y int, bytes long, bin int, size long, shard int, slot long, h long, T long, part int, first long, drop int, n_lines long, N_Removed long, row int, pick int, bucket int, sequence_id long, offset long, piece int, item_id long, second long, sigs int, toxic int, figure int, step int, length_class int, text_hash long, kept int"
 WORDS = "the of and to in is it was for on that with as at by river stone light seven green house under over never".split()
 
 
@@ -80,12 +80,22 @@ def components_by_force(rows, size, num, den):
 def test_ngram_join(docs, clashing):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     expected = components_by_force(rows, 4, 85, 100)
+
+    class Weak(ngram_join.NgramJoin):
+        def hashed(self):  # names that stand for many sets
+            return super().hashed().withColumn("node", F.when(F.col("node") != 0, F.pmod("node", F.lit(3)) + 1).otherwise(0))
+
+    assert sorted(map(tuple, Weak(docs).link().collect()), key=str) == expected
     assert sorted(map(tuple, ngram_join.NgramJoin(docs).link().collect()), key=str) == expected
     assert sorted(map(tuple, ngram_join.NgramJoin(clashing).link().collect()), key=str) == expected
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_ngram_join_of_edited_copies(spark, seed):
+def test_ngram_join_of_edited_copies(spark, seed, monkeypatch):
+    if seed:  # every signature of several nodes is a frequent one, and blocks are small
+        monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+        monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+        monkeypatch.setattr(ngram_join, "BLOCK", 300)
     r = random.Random(seed)
     rows = []
     for base in range(6):
@@ -211,13 +221,25 @@ def test_quality_rules_judge_a_minority_language_by_itself(spark):
 def test_line_dedup(docs, clashing):
     for df in (docs, clashing):
         out = line_dedup.dedup_lines(df)
-        assert out.columns == [*df.columns, "__n_lines", "__n_removed"]
+        assert out.columns[:-2] == df.columns
+        n_lines, n_removed = out.columns[-2:]
         got = {r.doc_id: r for r in out.where("doc_id is not null").collect()}
         line = "A line that many sites repeat in full."
-        assert got[11].text.count(line) == 1 and got[11]["__n_removed"] == 2
+        assert got[11].text.count(line) == 1 and got[11][n_removed] == 2
         assert line not in got[14].text and got[15].text == "end"
-        assert got[5].text is None and got[5]["__n_lines"] == 0 and got[6].text == "" and got[7].text == "  \n\t "
+        assert got[5].text is None and got[5][n_lines] == 0 and got[6].text == "" and got[7].text == "  \n\t "
         assert out.count() == df.count()
+        if df is clashing:
+            assert {(r["n_lines"], r["key"], r["drop"]) for r in got.values()} == {(1, 1, 1)}
+
+
+def test_short_lines_need_more_sites(spark):
+    rows = [(i, f"menu\nread more\n{prose(i, 20)}\n \nthe line that three sites share", "en", f"s{i % (3 if i < 3 else 8)}", 0) for i in range(8)]
+    rows = [(i, t if i < 3 else t.replace("\nthe line that three sites share", "").replace("menu\n", ""), *x) for i, t, *x in rows]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # "menu" is shown by 3 sites, "read more" by 8; a line without a word is never judged
+    assert all("menu" in got[i] for i in range(3)) and sum("read more" in x for x in got.values()) == 1
+    assert sum("the line that three sites share" in x for x in got.values()) == 1 and all(" " in x for x in got.values())
 
 
 # 7
@@ -254,15 +276,36 @@ def test_decontamination(spark, clashing):
     test = spark.createDataFrame(items, "item_id long, text string")
     expected = set()
     for d, text in rows:
+        low = decontaminate.reduced(text)
         for i, item in items:
             item = decontaminate.reduced(item)
-            if len(item) >= decontaminate.MIN_CHARS and (best := min(lev_search(item, decontaminate.reduced(text)))) <= len(item) // decontaminate.ERROR_EVERY:
+            if 0 < len(item) < decontaminate.MIN_CHARS:
+                expected |= {(d, i, 0) for _ in re.findall(rf"(?<!\S){item}(?!\S)", low)}
+            elif item and (best := min(lev_search(item, low))) <= len(item) // decontaminate.ERROR_EVERY:
                 expected.add((d, i, best))
-    got = {(x.doc_id, x.item_id, x.distance) for x in decontaminate.matches(df, test).collect()}
+    found = decontaminate.matches(df, test).collect()
+    got = {(x.doc_id, x.item_id, x.distance) for x in found}
     assert got == expected and {i for _, i, _ in got} & {0, 52} == {0, 52} and len({d for d, _, _ in got}) < 60
+    texts, asked = dict(rows), {i: decontaminate.reduced(t) for i, t in items}
+    for x in found:  # places are those of the text itself
+        there = decontaminate.reduced(texts[x.doc_id][x.start : x.stop])
+        assert lev_search(asked[x.item_id], there)[-1] <= x.distance + 1 and (x.distance or there == asked[x.item_id])
     kept = decontaminate.clean(df.withColumn("item_id", F.lit(1)), test)
-    assert kept.columns == ["doc_id", "text", "item_id"] and {x.doc_id for x in kept.collect()} == {d for d, _ in rows} - {d for d, _, _ in expected}
-    assert decontaminate.matches(clashing, test).count() == 0
+    long = {d for d, i, _ in expected if len(asked[i]) >= decontaminate.MIN_CHARS}
+    assert kept.columns == ["doc_id", "text", "item_id"] and {x.doc_id for x in kept.collect()} == {d for d, _ in rows} - long
+    assert decontaminate.matches(clashing, test).count() == 0 and decontaminate.clean(clashing, test).columns == clashing.columns
+    assert [x.item_id for x in decontaminate.unsearchable(test).collect()] == [50]
+
+
+def test_every_occurrence_is_a_match(spark):
+    item = prose(77, 8)
+    text = f"{item}\n{item.upper()}! {prose(78, 20)} İ {item[:40]}x{item[40:]}. too short"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    test = spark.createDataFrame([(7, item), (8, "Too  short"), (9, "o sho")], "item_id int, text string")
+    got = sorted((x.item_id, x.distance, text[x.start : x.stop]) for x in decontaminate.matches(docs, test).collect())
+    assert got == sorted([(7, 0, item), (7, 0, item.upper()), (7, 1, f"{item[:40]}x{item[40:]}"), (8, 0, "too short")])
+    small = decontaminate.matches(docs, test, min_chars=3).collect()
+    assert {x.item_id for x in small} == {7, 8, 9}
 
 
 # 3
@@ -281,6 +324,10 @@ def test_encoding_is_the_tokenisers(docs):
 def test_packing(spark, docs, clashing):
     for df in (docs, clashing):
         parts = packing.pieces(df, with_ids=True)
+        if df is clashing:
+            named = packing.pack(parts.withColumns({c: F.lit("own") for c in ("bucket", "sequence_id", "OFFSET")}), bucket_pieces=7)
+            assert named.columns == [*parts.columns, "bucket", "sequence_id", "OFFSET", "_sequence_id", "_offset"]
+            assert {(x.bucket, x.sequence_id, x.OFFSET) for x in named.collect()} == {("own",) * 3}
         out = packing.pack(parts, bucket_pieces=7).collect()
         places = collections.defaultdict(list)
         for x in out:
@@ -315,16 +362,19 @@ def test_packing_is_tight():
 def test_sharding(spark, docs, clashing):
     many = spark.createDataFrame([(i, prose(i % 400, 5 + i % 90)) for i in range(3000)] + [(10_000 + i, "hot " * 40) for i in range(1500)] + [(5, None)], "doc_id long, text string")
     for df, each in ((many, 1 << 12), (many, 1 << 30), (docs, 1 << 30), (clashing, 1 << 30)):
-        out = sharding.shard(df, 8, part_bytes=each).collect()
-        assert len(out) == df.count()
+        table = sharding.shard(df, 8, part_bytes=each)
+        size, shard, slot = table.columns[-3:]
+        out = table.collect()
+        assert len(out) == df.count() and table.columns[:-3] == df.columns
+        assert df is not clashing or {(x["size"], x["shard"], x["T"]) for x in out} == {(1, 1, 1)}
         sizes, slots = collections.Counter(), collections.defaultdict(list)
         for x in out:
-            assert x["__size"] == len((x.text or "").encode()) + 8
-            sizes[x["__shard"]] += x["__size"]
-            slots[x["__shard"]].append(x["__slot"])
+            assert x[size] == len((x.text or "").encode()) + 8
+            sizes[x[shard]] += x[size]
+            slots[x[shard]].append(x[slot])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(8))
         if df is many:
-            most = max(x["__size"] for x in out)
+            most = max(x[size] for x in out)
             assert max(sizes.values()) - min(sizes.values()) <= 2 * (sum(sizes.values()) / 8 * sharding.TOLERANCE + most)
 
 
