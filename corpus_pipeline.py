@@ -3,6 +3,11 @@
 Quality rules drop documents; line dedup takes boilerplate lines out of texts (and drops a document
 of which that leaves no word); of near duplicates one document stays; documents that hold a
 benchmark item go; best-fit packing returns the token pieces with their places in sequences.
+
+Defined results: a null or empty text goes in the first stage, as it has under 20 words; a very long text
+passes whole; rows that share an id are judged one by one, and of rows equal in id and text one stays; a
+null id comes after all others in its group of near duplicates; a null language or source is one of its
+own; an empty table gives an empty result. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("__n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(~emptied)
+    changed = F.col(out.columns[-1]) > 0
+    out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -37,7 +42,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(settle(packing.pieces(docs)))
+    return packing.pack(packing.pieces(docs))
 
 
 STAGES = [
