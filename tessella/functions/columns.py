@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.predicates import Filter, Scope
+from tessella.functions.predicates import Filter, Param, Scope
 
 #: Python types that a literal for a column may have.
 ACCEPTS = {
@@ -76,7 +76,7 @@ class Comparable:
 
     def _compare(self, op: Any, value: Any) -> Filter:
         value = self._literal(value)
-        return self._filter(lambda c: op(c, F.lit(value)))
+        return Filter((self.source,), lambda s: op(self.value(s), F.lit(s.bound(value))))
 
     def eq(self, value: Any) -> Filter:
         """Equal; eq(None) is null."""
@@ -144,6 +144,8 @@ class Token(Comparable):
 
     def _literal(self, value: Any) -> Any:
         accepts = ACCEPTS.get(type(self.type))
+        if isinstance(value, Param):
+            return value
         if accepts and (not isinstance(value, accepts) or isinstance(value, bool) and bool not in accepts):
             raise TypeError(f"{self.source}.{self.name} is {self.type.simpleString()}, not {type(value).__name__}")
         return value
@@ -155,7 +157,7 @@ class Token(Comparable):
 
     def between(self, low: Any, high: Any) -> Filter:
         low, high = self._literal(low), self._literal(high)
-        return self._filter(lambda c: c.between(F.lit(low), F.lit(high)))
+        return Filter((self.source,), lambda s: self.value(s).between(F.lit(s.bound(low)), F.lit(s.bound(high))))
 
     def in_(self, values: Any) -> Filter:
         """In a list (of none: false) or in the one column of a query."""
@@ -262,9 +264,17 @@ class Token(Comparable):
         return self._filter(lambda c: F.coalesce(F.arrays_overlap(c, self._values(values)), F.lit(False)))
 
 
-def json_path(keys: Iterable[str | int]) -> str:
-    """Keys that aren't plain names are quoted in brackets."""
-    return "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" if re.fullmatch(r"[A-Za-z_]\w*", k) else f"['{k}']" for k in keys)
+def json_at(column: Column, keys: Iterable[str | int]) -> Column:
+    """The text of what stands at a path. Keys that aren't plain names are quoted in brackets; those that a
+    path can't quote are looked up in the object as a map."""
+    path, out = "$", column
+    for k in keys:
+        if isinstance(k, str) and re.search(r"['?]", k):
+            out = F.from_json(out if path == "$" else F.get_json_object(out, path), "map<string,string>")[F.lit(k)]
+            path = "$"
+        else:
+            path += f"[{k}]" if isinstance(k, int) else f".{k}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k) else f"['{k}']"
+    return out if path == "$" else F.get_json_object(out, path)
 
 
 @dataclass(frozen=True)
@@ -285,7 +295,7 @@ class JsonPlace(Comparable):
         return self.token.name
 
     def value(self, scope: Scope) -> Column:
-        c = F.get_json_object(self.token.value(scope), json_path(self.keys))
+        c = json_at(self.token.value(scope), self.keys)
         return c.try_cast("double") if self.as_number else c
 
     def _literal(self, value: Any) -> Any:
@@ -317,18 +327,18 @@ def _leaves(part: Any, keys: tuple[str | int, ...]) -> Iterable[Any]:
             yield from _leaves(v, (*keys, k))
     elif isinstance(part, list):
         def has_all(c: Column, keys: tuple = keys, items: list = part) -> Column:
-            stored = F.from_json(F.get_json_object(c, json_path(keys)), "array<string>")
+            stored = F.from_json(json_at(c, keys), "array<string>")
             return reduce(operator.and_, [F.coalesce(F.array_contains(stored, x if isinstance(x, str) else json.dumps(x)), F.lit(False)) for x in items], stored.isNotNull())
 
         yield has_all
     elif part is None:
-        yield lambda c: F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(c, json_path(keys[:-1])) if keys[:-1] else c), keys[-1]), F.lit(False)) & F.get_json_object(c, json_path(keys)).isNull()
+        yield lambda c: F.coalesce(F.array_contains(F.json_object_keys(json_at(c, keys[:-1])), keys[-1]), F.lit(False)) & json_at(c, keys).isNull()
     else:
         text = str(part).lower() if isinstance(part, bool) else part
         if isinstance(text, str):
-            yield lambda c: F.coalesce(F.get_json_object(c, json_path(keys)) == F.lit(text), F.lit(False))
+            yield lambda c: F.coalesce(json_at(c, keys) == F.lit(text), F.lit(False))
         else:
-            yield lambda c: F.coalesce(F.get_json_object(c, json_path(keys)).try_cast("double") == F.lit(float(text)), F.lit(False))
+            yield lambda c: F.coalesce(json_at(c, keys).try_cast("double") == F.lit(float(text)), F.lit(False))
 
 
 def json_set(column: Column, key: str, value: Any) -> Column:

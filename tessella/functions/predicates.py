@@ -4,6 +4,7 @@ with AND, OR and NOT before any frame exists, and is lowered to one Spark column
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 from functools import reduce
@@ -13,11 +14,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Param:
+    """The place of a value that a prepared query gets later."""
+
+    index: int
+
+
 class Scope:
-    """How tokens become columns: by the alias of their model, if it has one here."""
+    """How tokens become columns: by the alias of their model, if it has one here; and what stands for parameters."""
 
-    def __init__(self, db: Any = None, aliases: dict[str, str] | None = None):
-        self.db, self.aliases = db, aliases or {}
+    def __init__(self, db: Any = None, aliases: dict[str, str] | None = None, params: tuple[Any, ...] = ()):
+        self.db, self.aliases, self.params = db, aliases or {}, params
+
+    def bound(self, value: Any) -> Any:
+        if not isinstance(value, Param):
+            return value
+        if value.index >= len(self.params):
+            raise ValueError(f"no value for parameter {value.index}; prepare the query and bind it")
+        return self.params[value.index]
 
     def column(self, token: Any) -> Column:
         alias = self.aliases.get(token.source)
@@ -53,6 +68,10 @@ def any_of(filters: Iterable[Filter]) -> Filter:
     return reduce(lambda a, b: a | b, filters, Filter((), lambda s: F.lit(False)))
 
 
+#: The filter of a query that has none.
+EVERYTHING = all_of(())
+
+
 def literal(value: Any) -> str:
     """A value as a Spark SQL literal; quotes and backslashes in strings are escaped."""
     if value is None:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import Aggregate, Order, Token
-from tessella.functions.predicates import Filter, Scope, all_of
+from tessella.functions.predicates import EVERYTHING, Filter, Scope
 from tessella.operators.include import attach
 from tessella.schema import Model
 
@@ -20,7 +20,27 @@ if TYPE_CHECKING:
     from tessella.session import Db
 
 LOG = logging.getLogger("tessella")
-JOINS = ("inner", "left", "right", "full")
+
+
+@dataclass
+class Metrics:
+    """Fetches so far, and from how many seconds on one is logged as slow."""
+
+    fetches: int = 0
+    rows: int = 0
+    seconds: float = 0.0
+    slow_after: float = 10.0
+    slow: int = 0
+
+    def add(self, rows: int, seconds: float) -> None:
+        self.fetches, self.rows, self.seconds = self.fetches + 1, self.rows + rows, self.seconds + seconds
+        LOG.debug("%d rows in %.3f s", rows, seconds)
+        if seconds > self.slow_after:
+            self.slow += 1
+            LOG.warning("slow: %d rows in %.3f s", rows, seconds)
+
+
+METRICS = Metrics()
 
 
 class NoRow(LookupError):
@@ -50,7 +70,7 @@ class Fetch:
     def _collect(self, df: DataFrame) -> list[Row]:
         began = time.perf_counter()
         rows = df.collect()
-        LOG.debug("%d rows in %.3f s", len(rows), time.perf_counter() - began)
+        METRICS.add(len(rows), time.perf_counter() - began)
         return rows
 
     def fetch_all(self) -> list[Row]:
@@ -79,7 +99,7 @@ class Fetch:
 class Select(Fetch):
     db: Db
     model: Model
-    where_: Filter = field(default_factory=lambda: all_of(()))
+    where_: Filter = EVERYTHING
     orders: tuple[Order, ...] = ()
     limit_: int | None = None
     offset_: int = 0
@@ -87,6 +107,7 @@ class Select(Fetch):
     distinct_: bool = False
     join_: JoinPart | None = None
     includes: tuple[Any, ...] = ()
+    params: tuple[Any, ...] = ()
 
     # building
 
@@ -184,7 +205,7 @@ class Select(Fetch):
         names = {self.model.name: self.model.name}
         if self.join_:
             names[self.join_.alias] = self.join_.alias
-        return Scope(self.db, names)
+        return Scope(self.db, names, self.params)
 
     def filtered(self) -> DataFrame:
         """The rows that the filter and the join leave, in all columns, under their models' aliases."""
@@ -222,10 +243,15 @@ class Select(Fetch):
             out = self._limited(rows if self.join_ else rows.alias(self.model.name))
         else:
             out = self._limited(self.filtered()).select(*self._projected())
+        narrowed = self.where_ is not EVERYTHING or self.limit_ is not None or self.join_ is not None
         for relation in self.includes:
-            out = attach(self.db, out, relation)
+            out = attach(self.db, out, relation, narrowed)
         return out
 
+    def prepare(self) -> PreparedSelect:
+        """The query with its ``Param`` places to be bound again and again."""
+        return PreparedSelect(self)
+
     # results
 
     def count(self) -> int:
@@ -235,12 +261,40 @@ class Select(Fetch):
     def exists(self) -> bool:
         return not self.filtered().limit(1).isEmpty()
 
+    def _keyed(self, size: int) -> Select:
+        return self.order_by(*[getattr(self.model, k).asc() for k in self.model.key]).limit(size + 1)
+
     def page(self, size: int) -> Page:
         """The first ``size`` rows, by what was asked and then the key, and if there are more."""
-        keyed = self.order_by(*[getattr(self.model, k).asc() for k in self.model.key]).limit(size + 1)
-        rows = keyed.fetch_all()
+        rows = self._keyed(size).fetch_all()
         return Page(rows[:size], len(rows) > size)
 
+    def page_rows(self, size: int) -> DataFrame:
+        """The rows of ``page``, not fetched, each with ``has_next``; the window is over ``size`` + 1 rows."""
+        rows = self._keyed(size).to_df()
+        every = Window.partitionBy(F.lit(0))
+        at = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("has_next", F.count("*").over(every) > size)
+        return at.withColumn("__at", F.row_number().over(every.orderBy("__at"))).where(F.col("__at") <= size).drop("__at")
+
+
+class PreparedSelect(Fetch):
+    """A query that is built and checked once, and lowered with the values bound to its parameters."""
+
+    def __init__(self, query: Select):
+        self.query, self.args = query, {}
+
+    def bind(self, i: int, value: Any) -> PreparedSelect:
+        self.args[i] = value
+        return self
+
+    def bind_many(self, values: Iterable[Any]) -> PreparedSelect:
+        self.args.update(enumerate(values))
+        return self
+
+    def to_df(self) -> DataFrame:
+        most = max(self.args, default=-1)
+        return replace(self.query, params=tuple(self.args.get(i) for i in range(most + 1))).to_df()
+
 
 @dataclass(frozen=True)
 class Grouped(Fetch):
@@ -249,7 +303,7 @@ class Grouped(Fetch):
     query: Select
     keys: tuple[Token, ...]
     aggregates: tuple[Aggregate, ...]
-    having_: Filter = field(default_factory=lambda: all_of(()))
+    having_: Filter = EVERYTHING
     orders: tuple[Order, ...] = ()
     limit_: int | None = None
     offset_: int = 0
@@ -267,6 +321,12 @@ class Grouped(Fetch):
     def or_filter(self, f: Filter) -> Grouped:
         return replace(self, query=self.query.or_filter(f))
 
+    def filter_if(self, value: Any, make: Callable[[Any], Filter]) -> Grouped:
+        return self if value is None else self.filter(make(value))
+
+    def or_filter_if(self, value: Any, make: Callable[[Any], Filter]) -> Grouped:
+        return self if value is None else self.or_filter(make(value))
+
     def having(self, f: Filter) -> Grouped:
         return replace(self, having_=self.having_ & f)
 
@@ -276,6 +336,9 @@ class Grouped(Fetch):
     def having_if(self, value: Any, make: Callable[[Any], Filter]) -> Grouped:
         return self if value is None else self.having(make(value))
 
+    def or_having_if(self, value: Any, make: Callable[[Any], Filter]) -> Grouped:
+        return self if value is None else self.or_having(make(value))
+
     def order_by(self, *orders: Order) -> Grouped:
         return replace(self, orders=self.orders + orders)
 

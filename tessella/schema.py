@@ -33,6 +33,10 @@ class Relation:
     through: tuple[str, str, str] | None = None
 
 
+#: What a delete of the parent does to children.
+ON_DELETE = ("no_action", "restrict", "cascade", "set_null")
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     column: str
@@ -61,6 +65,9 @@ class Model:
         problems = [f"{self.name}: no column {c!r}{_near(c, self.columns)}" for c in [*self.key, *(c for u in self.unique for c in u), *self.allowed, *self.defaults, *(f.column for f in self.foreign)] if c not in self.columns]
         if not self.key:
             problems.append(f"{self.name}: no key")
+        problems += [f"{self.name}.{f.column}: on_delete {f.on_delete!r}" for f in self.foreign if f.on_delete not in ON_DELETE]
+        problems += [f"{self.name}.{f.column}: set_null needs a nullable column" for f in self.foreign if f.on_delete == "set_null" and not self.columns.get(f.column, "?").endswith("?")]
+        problems += [f"{self.name}: relation {n!r} has no key column {r.key!r}{_near(r.key, self.columns)}" for n, r in self.relations.items() if r.key not in self.columns]
         if problems:
             raise ValueError("; ".join(problems))
 
@@ -71,6 +78,12 @@ class Model:
             raise AttributeError(f"{self.__dict__.get('name')}: no column {name!r}{_near(name, self.__dict__.get('columns', {}))}") from None
         return Token(self.name, f.name, f.dataType, f.nullable)
 
+    def relation(self, name: str) -> Relation:
+        """A declared relation."""
+        if name not in self.relations:
+            raise AttributeError(f"{self.name}: no relation {name!r}{_near(name, self.relations)}")
+        return self.relations[name]
+
     def fingerprint(self) -> str:
         """SHA-256 over the declaration; changes if and only if it does."""
         parts = [self.table, self.columns, list(self.key), [list(u) for u in self.unique], {k: list(v) for k, v in self.allowed.items()}, [vars(f) for f in self.foreign], self.defaults]
@@ -90,6 +103,32 @@ def _type(text: str) -> T.DataType:
     return SIMPLE[text]
 
 
+def validate(models: Sequence[Model]) -> list[str]:
+    """What is wrong between models: foreign keys and relations to models, columns or types that don't fit."""
+    by_name, out = {m.name: m for m in models}, []
+
+    def target(owner: str, model: str, column: str) -> T.DataType | None:
+        if model not in by_name:
+            out.append(f"{owner}: no model {model!r}{_near(model, by_name)}")
+        elif column not in by_name[model].columns:
+            out.append(f"{owner}: {model} has no column {column!r}{_near(column, by_name[model].columns)}")
+        else:
+            return by_name[model].schema[column].dataType
+        return None
+
+    for m in models:
+        for f in m.foreign:
+            kind = target(f"{m.name}.{f.column}", f.model, f.key)
+            if kind is not None and kind != m.schema[f.column].dataType:
+                out.append(f"{m.name}.{f.column} is {m.schema[f.column].dataType.simpleString()}, {f.model}.{f.key} is {kind.simpleString()}")
+        for n, r in m.relations.items():
+            target(f"{m.name}.{n}", r.model, r.column)
+            if r.through:
+                for column in r.through[1:]:
+                    target(f"{m.name}.{n}", r.through[0], column)
+    return out
+
+
 def _near(name: str, known: dict[str, str]) -> str:
     close = difflib.get_close_matches(name, known, 1)
     return f", did you mean {close[0]!r}?" if close else ""

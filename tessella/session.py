@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from tessella.plans.select import Fetch, Select
-from tessella.schema import Model
+from tessella.schema import Model, Relation
 
 
 class Db:
@@ -47,22 +49,52 @@ class Db:
 
     def with_recursive(self, model: Model, anchor: Fetch, step: str) -> Db:
         """``model`` stands for the anchor's rows and, again and again, those of ``step``: a Spark SQL
-        query over the model's name and the other tables."""
-        for m in self.models.values():
-            if f" {m.table}" in step:
-                self.table(m).createOrReplaceTempView(m.table)
-        anchor.to_df().createOrReplaceTempView("__anchor")
-        rows = self.spark.sql(f"WITH RECURSIVE {model.table}({', '.join(model.columns)}) AS (SELECT * FROM __anchor UNION ALL {step}) SELECT * FROM {model.table}")
+        query over the model's name and the other tables. Spark bounds levels and rows of a recursion by
+        spark.sql.cteRecursionLevelLimit and spark.sql.cteRecursionRowLimit."""
+        text = f"WITH RECURSIVE {model.table}({', '.join(model.columns)}) AS (SELECT * FROM __anchor UNION ALL {step}) SELECT * FROM {model.table}"
+        with self._views(step, {"__anchor": anchor.to_df()}, model.table):
+            rows = self.spark.sql(text)
         return Db(self.spark, [*self.models.values(), model], self.root, self.tables | {model.table: rows})
 
+    # relations
+
+    def relation(self, model: Model | str, name: str) -> Relation:
+        """A relation that the model declares."""
+        model = self.models[model] if isinstance(model, str) else model
+        return model.relation(name)
+
+    def related(self, relation: Relation, owner: Any) -> Select:
+        """The rows that a relation has for one owner, by the owner's key; to be filtered, ordered and limited like any query."""
+        target = self.models[relation.model]
+        column = getattr(target, relation.column)
+        if not relation.through:
+            return self.select(target).filter(column.eq(owner))
+        tie, to_parent, to_child = self.models[relation.through[0]], *relation.through[1:]
+        return self.select(target).filter(column.in_(self.select(tie).filter(getattr(tie, to_parent).eq(owner)).columns(getattr(tie, to_child))))
+
     # raw SQL and prepared queries
 
+    @contextmanager
+    def _views(self, text: str, more: dict[str, DataFrame] | None = None, without: str | None = None) -> Iterator[None]:
+        """Temporary views of the tables that ``text`` names outside quotes, while it is analysed; the session's own come back."""
+        words = set(re.findall(r"\w+", re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*", " ", text).lower()))
+        wanted = {m.table: self.table(m) for m in self.models.values() if m.table.lower() in words and m.table != without} | (more or {})
+        held = {t.name.lower() for t in self.spark.catalog.listTables() if t.isTemporary}
+        before = {name: self.spark.table(name) for name in wanted if name.lower() in held}
+        try:
+            for name, df in wanted.items():
+                df.createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in wanted:
+                self.spark.catalog.dropTempView(name)
+            for name, df in before.items():
+                df.createOrReplaceTempView(name)
+
     def sql(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> DataFrame:
         """Spark SQL over the models' tables; ``?`` or ``:name`` take arguments."""
-        for m in self.models.values():
-            if m.table in text:
-                self.table(m).createOrReplaceTempView(m.table)
-        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+        with self._views(text):
+            return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
     def prepare(self, text: str) -> Prepared:
         return Prepared(self, text)
