@@ -2,27 +2,32 @@
 
 Spark's Parquet tables can't be updated in place, so a change is a transformation from one state of
 a table to the next. ``Changes`` holds the states that differ from a Db's; a savepoint is a copy of
-that dict. ``commit`` checks the declared constraints, writes each changed table once, and returns a
-Db over the written files; until then nothing outside has changed.
+that dict. ``commit`` writes each changed table once, checks the declared constraints on what was
+written, and returns a Db over it; if a rule fails the new files go and nothing outside has changed.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.columns import json_set
-from tessella.functions.predicates import Filter, Scope, all_of
-from tessella.schema import Model, Relation
+from tessella.functions.predicates import EVERYTHING, Filter, Scope
+from tessella.schema import ForeignKey, Model, Relation
+from tessella.plans.select import NoRow
 from tessella.session import Db
+from tessella.sources.introspect import metadata_of
 
 #: In place of a filter: every row is meant.
-ALL_ROWS = all_of(())
+ALL_ROWS = EVERYTHING
 
 
 class ConstraintError(ValueError):
@@ -45,6 +50,26 @@ class ForeignKeyViolation(ConstraintError):
     pass
 
 
+@dataclass(frozen=True)
+class Affected:
+    """The rows that a change met, by model, as they were (of inserts: as they are); counted when asked."""
+
+    rows: dict[str, DataFrame]
+
+    def to_df(self) -> DataFrame:
+        """One row with ``n``: how many rows, those of children included."""
+        ones = [df.select(F.lit(1).alias("one")) for df in self.rows.values()]
+        return reduce(DataFrame.unionAll, ones).agg(F.count("*").alias("n"))
+
+    def count(self) -> int:
+        return self.to_df().first().n
+
+
+def when(value: Any, make: Callable[[Any], Filter]) -> Filter:
+    """The filter made of a value, or every row where there is none: an absent value changes or deletes ALL rows."""
+    return ALL_ROWS if value is None else make(value)
+
+
 DEFAULTS = {
     "uuid4": lambda: F.uuid(),
     "uuid7": lambda: F.regexp_replace(F.concat(F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0"), F.lit("7"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 14, 3), F.lit("8"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 18, 15)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
@@ -106,16 +131,23 @@ class Changes:
             df = self.db.spark.createDataFrame([tuple(r[c] for c in given) for r in rows], loose)
         for c, kind in ((f.name, f.dataType) for f in model.schema.fields):
             if c not in given:
-                df = df.withColumn(c, self._default(model, c).cast(kind))
+                df = self._numbered(model, df, c) if model.defaults.get(c) == "autoincrement" else df.withColumn(c, self._default(model, c))
+                df = df.withColumn(c, F.col(c).cast(kind))
         return df.select(*model.columns)
 
+    def _numbered(self, model: Model, df: DataFrame, column: str) -> DataFrame:
+        """Numbers on from the table's greatest, without gaps: each partition starts where the one before it ends."""
+        most = self.table(model).agg(F.coalesce(F.max(column), F.lit(0)).cast("long")).scalar()
+        at = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+        sizes = at.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+        starts = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+        numbered = at.join(F.broadcast(starts), "__part").withColumn(column, most + 1 + F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        return numbered.drop("__at", "__part", "__start")
+
     def _default(self, model: Model, column: str) -> Column:
         default = model.defaults.get(column)
         if default is None:
             return F.lit(None)
-        if default == "autoincrement":
-            most = self.table(model).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-            return F.lit(most + 1) + F.monotonically_increasing_id()
         return DEFAULTS[default]() if default in DEFAULTS else F.expr(default)
 
     def insert(self, model: Model, rows: Iterable[dict[str, Any]] | DataFrame) -> DataFrame:
@@ -125,15 +157,34 @@ class Changes:
         return new
 
     def upsert(self, model: Model, rows: Iterable[dict[str, Any]] | DataFrame, on: Sequence[str], update: Sequence[str] = ()) -> None:
-        """Adds rows whose ``on`` columns are new; of the others the columns ``update`` are taken over."""
-        new = self._rows(model, rows).withColumn("__new", F.lit(True)).alias("n")
-        old = self.table(model).withColumn("__old", F.lit(True)).alias("o")
-        same = F.lit(True)
-        for c in on:
-            same = same & (F.col(f"o.{c}") == F.col(f"n.{c}"))
-        both = old.join(new, same, "full")
-        cells = [(F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in update else F.when(F.col("__old"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))).alias(c) for c in model.columns]
-        self._put(model, both.select(*cells))
+        """Adds rows whose ``on`` columns are new; of the others the columns ``update`` are taken over.
+
+        A key that is given twice is an error where columns are to be updated; else the first row is the one
+        that is added. Rows of a DataFrame have no order, so of those the least counts. A null key is new.
+        """
+        if not isinstance(rows, DataFrame):
+            seen: dict[tuple, dict[str, Any]] = {}
+            rows = list(rows)
+            for i, r in enumerate(rows):
+                key = tuple(r.get(c) for c in on)
+                key = (*key, i) if None in key else key
+                if key in seen and update:
+                    raise ValueError(f"{model.name}: one key twice in an upsert that updates")
+                seen.setdefault(key, r)
+            new = self._rows(model, list(seen.values()))
+        else:
+            alone = F.coalesce(*[F.when(F.col(c).isNull(), F.monotonically_increasing_id()) for c in on])
+            made = self._rows(model, rows).withColumn("__alone", alone)
+            new = made.groupBy(*on, "__alone").agg(F.min(F.struct(*model.columns)).alias("__row")).select("__row.*")
+        old = self.table(model)
+        # the new rows are the side that Spark broadcasts where it is small; the table is never the one that moves then
+        known = old.join(new.select(*on), list(on), "left_semi").select(*on)
+        added = new.join(known, list(on), "left_anti").select(*model.columns)
+        if update:
+            fresh = new.select(*[F.col(c).alias(f"__{c}") for c in {*on, *update}], F.lit(True).alias("__met"))
+            same = reduce(Column.__and__, [F.col(c) == F.col(f"__{c}") for c in on])
+            old = old.join(fresh, same, "left").select(*[(F.when(F.col("__met"), F.col(f"__{c}")).otherwise(F.col(c)) if c in update else F.col(c)).alias(c) for c in model.columns])
+        self._put(model, old.unionByName(added))
 
     def create(self, model: Model, row: dict[str, Any], children: dict[Relation, list[dict[str, Any]]] | None = None) -> DataFrame:
         """One row, and rows of related models that point to it."""
@@ -152,11 +203,12 @@ class Changes:
     def affected(self, model: Model, where: Filter) -> int:
         return self.table(model).where(self._hit(model, where)).count()
 
-    def update(self, model: Model, where: Filter, **values: Any) -> None:
+    def update(self, model: Model, where: Filter, **values: Any) -> Affected:
         """Sets columns of the rows that meet ``where``; a value may be a Spark column."""
         if not values:
             raise ValueError("nothing to set")
         hit = self._hit(model, where)
+        met = Affected({model.name: self.table(model).where(hit)})
         cells = []
         for f in model.schema.fields:
             if f.name in values:
@@ -165,47 +217,104 @@ class Changes:
             else:
                 cells.append(F.col(f.name))
         self._put(model, self.table(model).select(*cells))
+        return met
 
-    def update_json(self, model: Model, where: Filter, column: str, key: str, value: Any) -> None:
-        self.update(model, where, **{column: json_set(F.col(column), key, value)})
+    def update_json(self, model: Model, where: Filter, column: str, key: str, value: Any) -> Affected:
+        return self.update(model, where, **{column: json_set(F.col(column), key, value)})
 
-    def delete(self, model: Model, where: Filter) -> None:
-        """Takes out the rows that meet ``where``; declared foreign keys say what their children do."""
+    def delete(self, model: Model, where: Filter) -> Affected:
+        """Takes out the rows that meet ``where``; declared foreign keys say what their children do.
+
+        Rows that go by cascade are found first, level by level, then children of all of them are checked
+        (restrict) or cut loose (set_null). Children under no_action are looked at by ``check``.
+        """
         hit = self._hit(model, where)
-        doomed, rest = self.table(model).where(hit), self.table(model).where(~hit)
-        for child in self.db.models.values():
-            for key in child.foreign:
-                if key.model == model.name and key.on_delete != "no_action":
-                    self._on_delete(child, key, doomed)
-        self._put(model, rest)
-
-    def _on_delete(self, child: Model, key: Any, doomed: DataFrame) -> None:
-        gone = doomed.select(F.col(key.key).alias("__gone")).distinct()
-        rows = self.table(child)
-        meets = F.col(key.column) == F.col("__gone")
-        if key.on_delete == "restrict":
-            if not rows.join(gone, meets, "left_semi").isEmpty():
-                raise ForeignKeyViolation(f"{child.name}.{key.column} still refers to {key.model}")
-        elif key.on_delete == "cascade":
-            lost = rows.join(gone, meets, "left_semi")
-            for grandchild in self.db.models.values():
-                for k in grandchild.foreign:
-                    if k.model == child.name and k.on_delete != "no_action":
-                        self._on_delete(grandchild, k, lost)
-            self._put(child, rows.join(gone, meets, "left_anti"))
-        elif key.on_delete == "set_null":
-            marked = rows.join(gone, meets, "left")
-            self._put(child, marked.withColumn(key.column, F.when(F.col("__gone").isNull(), F.col(key.column))))
-        else:
-            raise ValueError(f"on_delete {key.on_delete!r}")
+        doomed = self._doomed(model, self.table(model).where(hit))
+        keys = [(child, k) for child in self.db.models.values() for k in child.foreign if k.model in doomed]
+        after = {name: self._without(self.db.models[name], df) for name, df in doomed.items()}
+        if len(doomed) == 1 and not self._looped(model):
+            after[model.name] = self.table(model).where(~hit)
+        for child, k in keys:
+            rows = after.get(child.name)
+            rows = self._table_or_none(child) if rows is None else rows
+            if rows is None or k.on_delete not in ("restrict", "set_null"):
+                continue
+            gone = doomed[k.model].select(F.col(k.key).alias("__gone")).distinct()
+            meets = F.col(k.column) == F.col("__gone")
+            if k.on_delete == "restrict":
+                if not rows.join(gone, meets, "left_semi").isEmpty():
+                    raise ForeignKeyViolation(f"{child.name}.{k.column} still refers to {k.model}")
+            else:
+                after[child.name] = rows.join(gone, meets, "left").withColumn(k.column, F.when(F.col("__gone").isNull(), F.col(k.column))).select(*child.columns)
+        for name, df in after.items():
+            self._put(self.db.models[name], df)
+        return Affected(doomed)
+
+    def _cascades(self, names: Iterable[str]) -> list[tuple[Model, ForeignKey]]:
+        held = set(names)
+        return [(child, k) for child in self.db.models.values() for k in child.foreign if k.model in held and k.on_delete == "cascade"]
+
+    def _looped(self, model: Model) -> bool:
+        """Whether cascades can lead from the model, or from one below it, back to where they have been."""
+
+        def back(name: str, path: tuple[str, ...]) -> bool:
+            return name in path or any(back(child.name, (*path, name)) for child, _ in self._cascades([name]))
+
+        return back(model.name, ())
+
+    def _without(self, model: Model, gone: DataFrame) -> DataFrame:
+        return self.table(model).join(gone.select(*model.key).distinct(), list(model.key), "left_anti").select(*model.columns)
+
+    def _table_or_none(self, model: Model) -> DataFrame | None:
+        """The table, if the Db has one: a Db over given tables need not have those of all models."""
+        try:
+            return self.table(model)
+        except LookupError:
+            return None
+
+    def _doomed(self, model: Model, first: DataFrame) -> dict[str, DataFrame]:
+        """The rows that go with ``first``, by model. Where cascades loop, as in a table that refers to itself,
+        each level is written to the checkpoint folder, and the search ends with a level that is empty."""
+        looped = self._looped(model)
+        found, level = {model.name: first}, {model.name: first}
+        while level:
+            below: dict[str, DataFrame] = {}
+            for child, k in self._cascades(level):
+                rows = self._table_or_none(child)
+                if rows is None:
+                    continue
+                gone = level[k.model].select(F.col(k.key).alias("__gone")).distinct()
+                lost = rows.join(gone, F.col(k.column) == F.col("__gone"), "left_semi")
+                for known in (found.get(child.name), below.get(child.name)):
+                    if known is not None:
+                        lost = lost.join(known.select(*child.key), list(child.key), "left_anti").select(*child.columns)
+                below[child.name] = below[child.name].unionByName(lost) if child.name in below else lost
+            if looped:
+                below = {name: self._checkpointed(df) for name, df in below.items()}
+                below = {name: df for name, df in below.items() if not df.isEmpty()}
+            for name, df in below.items():
+                found[name] = found[name].unionByName(df) if name in found else df
+            level = below
+        return found
+
+    def _checkpointed(self, df: DataFrame) -> DataFrame:
+        context = self.db.spark.sparkContext
+        if not context.getCheckpointDir():
+            where = self.db.spark.conf.get("spark.checkpoint.dir", None)
+            if where is None:
+                if not context.master.startswith("local"):
+                    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+                where = tempfile.mkdtemp(prefix="tessella-")
+            context.setCheckpointDir(where)
+        return df.checkpoint()
 
     # relations
 
-    def connect(self, relation: Relation, parent: Any, where: Filter) -> None:
-        self.update(self.db.models[relation.model], where, **{relation.column: parent})
+    def connect(self, relation: Relation, parent: Any, where: Filter) -> Affected:
+        return self.update(self.db.models[relation.model], where, **{relation.column: parent})
 
-    def disconnect(self, relation: Relation, where: Filter) -> None:
-        self.update(self.db.models[relation.model], where, **{relation.column: None})
+    def disconnect(self, relation: Relation, where: Filter) -> Affected:
+        return self.update(self.db.models[relation.model], where, **{relation.column: None})
 
     def attach(self, relation: Relation, parent: Any, children: Sequence[Any]) -> None:
         """Ties a parent to children of a many-to-many relation; ties that exist stay single."""
@@ -220,43 +329,105 @@ class Changes:
         self.delete(model, where if children is None else where & getattr(model, to_child).in_(children))
 
     def set_related(self, relation: Relation, parent: Any, children: Sequence[Any]) -> None:
-        self.detach(relation, parent)
+        """Makes ``children``, by their keys, the parent's only ones: the others are untied or cut loose."""
+        if relation.through:
+            self.detach(relation, parent)
+            if children:
+                self.attach(relation, parent, children)
+            return
+        model = self.db.models[relation.model]
+        self.disconnect(relation, getattr(model, relation.column).eq(parent))
         if children:
-            self.attach(relation, parent, children)
+            self.connect(relation, parent, getattr(model, model.key[0]).in_(children))
+
+    # raw SQL over the staged state
+
+    def _now(self) -> Db:
+        return self.db.with_tables(**self.staged)
+
+    def sql(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> DataFrame:
+        """Spark SQL over the tables as they are staged."""
+        return self._now().sql(text, args)
+
+    def fetch_all(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> list[Row]:
+        return self.sql(text, args).collect()
+
+    def fetch_optional(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> Row | None:
+        return next(iter(self.sql(text, args).limit(1).collect()), None)
+
+    def fetch_one(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> Row:
+        row = self.fetch_optional(text, args)
+        if row is None:
+            raise NoRow("no row found for query")
+        return row
+
+    def execute(self, model: Model, text: str, args: Sequence[Any] | dict[str, Any] | None = None) -> Affected:
+        """Stages what a SELECT over the staged tables gives as the model's next state, by column name.
+
+        The rows affected are those that the old state has and the new one has not, and the other way round.
+        """
+        old, kinds = self.table(model), model.schema
+        new = self.sql(text, args).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields])
+        self._put(model, new)
+        return Affected({model.name: old.exceptAll(new).unionAll(new.exceptAll(old))})
 
     # the end
 
-    def check(self) -> None:
-        """Raises for the first rule that a changed table breaks."""
+    def check(self, tables: dict[str, DataFrame] | None = None) -> None:
+        """Raises for the first rule that the changed tables break, or that others break by what they changed.
+
+        ``tables``: the changed tables as they were written; the staged ones where not told.
+        """
+        changed = self.staged if tables is None else tables
+
+        def table(model: Model) -> DataFrame | None:
+            return changed[model.table] if model.table in changed else self._table_or_none(model)
+
         for model in self.db.models.values():
-            if model.table not in self.staged:
+            if model.table not in changed:
                 continue
-            df = self.table(model)
-            for f in model.schema.fields:
-                if not f.nullable and not df.where(F.col(f.name).isNull()).isEmpty():
-                    raise NotNullViolation(f"{model.name}.{f.name}")
+            df = table(model)
+            rules: list[tuple[Column, ConstraintError]] = [(F.col(f.name).isNull(), NotNullViolation(f"{model.name}.{f.name}")) for f in model.schema.fields if not f.nullable]
+            rules += [(~F.col(c).isin(list(values)), CheckViolation(f"{model.name}.{c}")) for c, values in model.allowed.items()]
+            broken = df.agg(*[F.coalesce(F.max(c), F.lit(False)) for c, _ in rules]).first() if rules else ()
+            for is_broken, (_, error) in zip(broken, rules, strict=True):
+                if is_broken:
+                    raise error
             for columns in (model.key, *model.unique):
-                whole = [F.col(c).isNotNull() for c in columns]
-                rows = df
-                for w in whole:
-                    rows = rows.where(w)
-                if not rows.groupBy(*columns).count().where("count > 1").isEmpty():
+                whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+                if not df.where(whole).groupBy(*columns).count().where("count > 1").isEmpty():
                     raise UniqueViolation(f"{model.name}({', '.join(columns)})")
-            for c, values in model.allowed.items():
-                if not df.where(~F.col(c).isin(list(values))).isEmpty():
-                    raise CheckViolation(f"{model.name}.{c}")
+        for model in self.db.models.values():
             for k in model.foreign:
-                parents = self.table(self.db.models[k.model]).select(F.col(k.key).alias("__key"))
-                if not df.where(F.col(k.column).isNotNull()).join(parents, F.col(k.column) == F.col("__key"), "left_anti").isEmpty():
+                parent = self.db.models.get(k.model)
+                if parent is None or not {model.table, parent.table} & set(changed):
+                    continue
+                rows, parents = table(model), table(parent)
+                if rows is None:
+                    continue
+                if parents is None:
+                    raise LookupError(f"no table {parent.table} for {model.name}.{k.column}")
+                loose = rows.where(F.col(k.column).isNotNull()).join(parents.select(F.col(k.key).alias("__key")), F.col(k.column) == F.col("__key"), "left_anti")
+                if not loose.isEmpty():
                     raise ForeignKeyViolation(f"{model.name}.{k.column}")
 
     def commit(self, root: str) -> Db:
-        """Checks, writes each changed table to a new folder under ``root``, and gives a Db over them."""
-        self.check()
-        written = {}
-        for name, df in self.staged.items():
-            path = f"{root}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            written[name] = self.db.spark.read.parquet(path)
+        """Writes each changed table once, to a new folder under ``root``, checks what was written, and gives a Db over it.
+
+        The declaration goes with the files: keys and foreign keys are kept as metadata of the columns.
+        """
+        spark, paths = self.db.spark, {}
+        try:
+            for name, df in self.staged.items():
+                paths[name] = f"{root}/{name}/{uuid.uuid4().hex}"
+                model = next(m for m in self.db.models.values() if m.table == name)
+                df.select(*[F.col(c).alias(c, metadata=metadata_of(model, c)) for c in model.columns]).write.parquet(paths[name])
+            written = {name: spark.read.parquet(path) for name, path in paths.items()}
+            self.check(written)
+        except BaseException:
+            for path in paths.values():
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            raise
         self.rollback()
         return self.db.with_tables(**written)
