@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.predicates import all_of, any_of, raw
-from tessella.operators.changes import ALL_ROWS, Changes
+from tessella.functions.predicates import Param, all_of, any_of, raw
+from tessella.operators.changes import ALL_ROWS, Changes, when
 from tessella.operators.include import Include, every, exists, none, some
 from tessella.plans.select import columns_of
 from tessella.schema import ForeignKey, Model, Relation
@@ -124,7 +124,14 @@ def shapes() -> None:
     simple("keyset_before", lambda db: db.select(o).columns(*two).before(o.o_orderkey, 1000, 20), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000 ORDER BY o_orderkey DESC LIMIT 20")
     simple("count_filtered", lambda db: db.select(o).filter(o.o_orderstatus.eq("F")).filtered().agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
     simple("exists_filtered", lambda db: db.spark.range(1).select(db.select(o).filter(o.o_totalprice.gt(499000.0)).filtered().exists().alias("found")), "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 499000) AS found")
-    simple("page_first", lambda db: (lambda page: db.spark.createDataFrame([(r.o_orderkey, page.has_next) for r in page.items], "o_orderkey long, has_next boolean"))(db.select(o).columns(o.o_orderkey).order_by(o.o_orderkey.desc()).page(10)), "SELECT o_orderkey, TRUE AS has_next FROM orders ORDER BY o_orderkey DESC LIMIT 10")
+    simple("page_first", lambda db: db.select(o).columns(o.o_orderkey).order_by(o.o_orderkey.desc()).page_rows(10), "SELECT o_orderkey, TRUE AS has_next FROM orders ORDER BY o_orderkey DESC LIMIT 10")
+    simple("page_last", lambda db: db.select(region).columns(region.r_regionkey).page_rows(10), "SELECT r_regionkey, FALSE AS has_next FROM region")
+    asked = lambda db: db.select(o).filter(o.o_custkey.eq(Param(0)) & o.o_totalprice.between(Param(1), Param(2))).columns(*two).prepare()
+    simple(
+        "prepared_builder",
+        lambda db: asked(db).bind_many([1, 0.0, 1.0]).bind(0, 5).bind(2, 300000.0),
+        "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 5 AND o_totalprice BETWEEN 0 AND 300000",
+    )
     simple("prepared_rebind", lambda db: db.prepare("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ? AND o_totalprice > ?").bind_many([1, 0]).bind(0, 5).bind(9, "ignored"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 5 AND o_totalprice > 0")
     simple("raw_query", lambda db: db.sql("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> :name", {"name": "ASIA"}), "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
 
@@ -142,6 +149,17 @@ def aggregates() -> None:
     simple("agg_where_group", lambda db: db.select(o).group_by(o.o_orderstatus).aggregate(o.o_custkey.count_distinct(), o.o_custkey.max()).filter(o.o_totalprice.gt(200000.0)).include_keys(), "SELECT o_orderstatus, count(DISTINCT o_custkey) AS count_distinct_o_custkey, max(o_custkey) AS max_o_custkey FROM orders WHERE o_totalprice > 200000 GROUP BY ALL")
     simple("agg_order_limit", lambda db: db.select(o).group_by(o.o_custkey).aggregate(o.o_orderkey.sum()).order_by(o.o_custkey.asc()).limit(10).offset(5), "SELECT CAST(sum(o_orderkey) AS BIGINT) AS sum_o_orderkey FROM orders GROUP BY o_custkey ORDER BY o_custkey LIMIT 10 OFFSET 5")
 
+    simple(
+        "agg_filter_if",
+        lambda db: db.select(o).group_by(o.o_orderstatus).aggregate(o.o_orderkey.count()).include_keys().filter_if("1-URGENT", o.o_orderpriority.eq).or_filter_if("2-HIGH", o.o_orderpriority.eq).filter_if(None, o.o_custkey.eq),
+        "SELECT o_orderstatus, count(o_orderkey) AS count_o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY ALL",
+    )
+    simple(
+        "agg_or_having_if",
+        lambda db: db.select(o).group_by(o.o_orderpriority).aggregate(o.o_orderkey.count()).include_keys().having(o.o_orderpriority.eq("1-URGENT")).or_having_if("5-LOW", o.o_orderpriority.eq).or_having_if(None, o.o_orderpriority.eq),
+        "SELECT o_orderpriority, count(o_orderkey) AS count_o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL",
+    )
+
 
 def joins() -> None:
     """Joins of two models; each side is a struct, null where the outer side is absent."""
@@ -194,6 +212,44 @@ def subqueries() -> None:
         anchor = db.with_cte(first, db.select(t).filter(t.turn.eq(0)).group_by(t.turn).aggregate(t.conv_id.count()).include_keys()).select(first)
         return db.with_recursive(chain, anchor, "SELECT chain.turn + 1, chain.n FROM chain WHERE chain.turn < 6").select(chain)
 
+    walk = Model("walk", {"conv_id": "bigint", "turn": "bigint", "chars": "bigint"}, ("conv_id", "turn"))
+
+    @register(
+        "cte_recursive_walk",
+        "WITH RECURSIVE walk(conv_id, turn, chars) AS (SELECT conv_id, turn, 0::BIGINT FROM conversations WHERE turn = 0"
+        " UNION ALL SELECT walk.conv_id, c.turn, walk.chars + coalesce(length(c.text), 0) FROM walk JOIN conversations c ON c.conv_id = walk.conv_id AND c.turn = walk.turn + 1) SELECT * FROM walk",
+    )
+    def cte_recursive_walk(db: Db) -> object:
+        """Each conversation from its first turn on, as long as turns follow, with the characters said so far."""
+        t = conversations
+        start = Model("start", {"conv_id": "bigint", "turn": "bigint", "chars": "bigint"}, ("conv_id",))
+        zero = db.with_tables(start=db.table(t).where("turn = 0").select("conv_id", "turn", F.lit(0).cast("long").alias("chars")))
+        step = "SELECT walk.conv_id, c.turn, walk.chars + coalesce(length(c.text), 0) FROM walk JOIN conversations c ON c.conv_id = walk.conv_id AND c.turn = walk.turn + 1"
+        return db.with_recursive(walk, zero.select(start), step).select(walk)
+
+    def holes(db: Db) -> Db:
+        """Orders of which some have no customer or price."""
+        rows = db.table(o).withColumn("o_custkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+        return db.with_tables(orders=rows)
+
+    with_holes = "WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice FROM orders) "
+    simple("filter_null_rows", lambda db: holes(db).select(o).filter(o.o_custkey.is_null() & o.o_totalprice.ne(None)).columns(o.o_orderkey), with_holes + "SELECT o_orderkey FROM o WHERE o_custkey IS NULL AND o_totalprice IS NOT NULL")
+    simple("filter_not_of_null", lambda db: holes(db).select(o).filter(~o.o_totalprice.gt(100000.0) | o.o_custkey.not_in([1, 2])).columns(o.o_orderkey), with_holes + "SELECT o_orderkey FROM o WHERE NOT o_totalprice > 100000 OR o_custkey NOT IN (1, 2)")
+    simple(
+        "rel_every_null_child",
+        lambda db: keys(holes(db).select(c).filter(every(c, ORDERS_OF, o.o_totalprice.lt(400000.0)))),
+        with_holes + "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM o WHERE o_custkey = c_custkey AND NOT o_totalprice < 400000)",
+    )
+    simple(
+        "join_left_absent_rows",
+        lambda db: holes(db).select(c).left_join(o, c.c_custkey.on(o.o_custkey)).to_df().where("right is null").select("left.c_custkey"),
+        with_holes + "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM o WHERE o_custkey IS NOT NULL)",
+    )
+    simple("set_limit", lambda db: left(db).union(right(db)).limit(50).offset(7).to_df().agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM (({a} UNION {b}) LIMIT 50 OFFSET 7)")
+    simple("set_of_sets", lambda db: left(db).union_all(right(db)).to_df().exceptAll(left(db).intersect(right(db)).to_df()), f"({a} UNION ALL {b}) EXCEPT ALL ({a} INTERSECT {b})")
+    simple("related_many", lambda db: db.related(ORDERS_OF, 5).filter(o.o_totalprice.gt(1000.0)).columns(o.o_orderkey), "SELECT o_orderkey FROM orders WHERE o_custkey = 5 AND o_totalprice > 1000")
+    simple("related_through", lambda db: db.related(PARTS_OF, 1).columns(part.p_partkey), "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey = 1)")
+
 
 def documents_and_arrays() -> None:
     """JSON text and arrays."""
@@ -205,6 +261,17 @@ def documents_and_arrays() -> None:
     simple("json_has_key", lambda db: ids(db.select(e).filter(e.props.has_key("k") & ~e.props.has_key("other") & e.value.gt(20.0))), "SELECT event_id FROM events WHERE value > 20")
     simple("json_contains", lambda db: ids(db.select(e).filter(e.props.json_contains({"k": 42}))), f"SELECT event_id FROM events WHERE {k} = 42")
     simple("json_order", lambda db: ids(db.select(e).order_by(e.props.get("k").number().desc(), e.event_id.asc()).limit(15)), f"SELECT event_id FROM events ORDER BY {k} DESC NULLS FIRST, event_id LIMIT 15")
+
+    def kept_as(db: Db, props: Callable) -> Db:
+        return db.with_tables(events=db.table(e).withColumn("props", props(F.get_json_object("props", "$.k"))))
+
+    quoted = lambda v: F.to_json(F.create_map(F.lit("it's"), F.struct(v.cast("double").alias("in"))))
+    simple("json_quoted_key", lambda db: ids(kept_as(db, quoted).select(e).filter(e.props.get("it's").get("in").gt(50))), f"SELECT event_id FROM events WHERE {k} > 50")
+    listed = lambda v: F.concat(F.lit('[0, {"k": '), v, F.lit("}]"))
+    simple("json_at", lambda db: ids(kept_as(db, listed).select(e).filter(e.props.at(1).get("k").lte(50))), f"SELECT event_id FROM events WHERE {k} <= 50")
+    nested = lambda v: F.concat(F.lit('{"a": {"b": '), v, F.lit(', "c": "Word"}, "t": ["x", "'), v, F.lit('"]}'))
+    simple("json_contains_nested", lambda db: ids(kept_as(db, nested).select(e).filter(e.props.json_contains({"a": {"b": 42, "c": "Word"}, "t": ["42"]}))), f"SELECT event_id FROM events WHERE {k} = 42")
+    simple("json_ilike", lambda db: ids(kept_as(db, nested).select(e).filter(e.props.get("a").get_text("c").ilike("wOR") & e.props.get("t").at(1).eq("42"))), f"SELECT event_id FROM events WHERE {k} = 42")
     baskets = Model("baskets", {"l_orderkey": "bigint", "flags": "array<string>"}, ("l_orderkey",))
 
     def with_baskets(db: Db) -> Db:
@@ -230,6 +297,27 @@ def relations() -> None:
     simple("include_nested", lambda db: db.select(c).include(Include(ORDERS_OF).include(Include(LINES_OF).filter(line.l_quantity.gt(45.0)))).to_df().select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.aggregate("orders", F.lit(0).cast("long"), lambda n, x: n + F.size(x["lines"])).alias("n_lines")), "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY c_custkey")
     simple("include_through", lambda db: db.select(o).filter(o.o_orderstatus.eq("P")).include(Include(PARTS_OF)).to_df().select("o_orderkey", F.size("parts").cast("long").alias("n"), F.array_join(F.transform("parts", lambda x: x["p_partkey"].cast("string")), ",").alias("keys")), "SELECT o_orderkey, count(p_partkey) AS n, coalesce(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey), '') AS keys FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey")
 
+    simple(
+        "include_contents",
+        lambda db: db.select(c).filter(c.c_custkey.lt(400)).include(Include(ORDERS_OF).filter(o.o_totalprice.gt(100000.0)).include(Include(LINES_OF).filter(line.l_quantity.gt(30.0))))
+        .to_df()
+        .select("c_custkey", F.array_join(F.transform("orders", lambda x: F.concat_ws(":", x["o_orderkey"], F.array_join(F.transform(x["lines"], lambda y: y["l_linenumber"].cast("string")), "/"))), ",").alias("tree")),
+        "WITH one AS (SELECT o_custkey, o_orderkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), '/' ORDER BY l_linenumber), '') AS lines"
+        " FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 30 WHERE o_totalprice > 100000 GROUP BY ALL)"
+        " SELECT c_custkey, coalesce(string_agg(o_orderkey || ':' || lines, ',' ORDER BY o_orderkey), '') AS tree FROM customer LEFT JOIN one ON o_custkey = c_custkey WHERE c_custkey < 400 GROUP BY c_custkey",
+    )
+    simple(
+        "include_ordered",
+        lambda db: db.select(c).include(Include(ORDERS_OF).order_by(o.o_orderpriority.asc(), o.o_totalprice.desc())).to_df().select("c_custkey", F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",").alias("keys")),
+        "SELECT c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    )
+    last = Relation("last", "orders", "o_custkey", "c_custkey", many=False)
+    simple(
+        "include_one_of_many",
+        lambda db: db.select(c).filter(c.c_custkey.lt(900)).include(Include(last).order_by(o.o_totalprice.desc())).to_df().select("c_custkey", "last.o_orderkey"),
+        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) ON o_custkey = c_custkey WHERE c_custkey < 900",
+    )
+
 
 def changes() -> None:
     """States of tables after changes that are staged and not written."""
@@ -260,6 +348,36 @@ def changes() -> None:
     change("nested_create", lambda t: t.create(r, {"r_regionkey": 77, "r_name": "NEW"}, {Relation("nations", "nation", "n_regionkey", "r_regionkey"): [{"n_nationkey": 770, "n_name": "A"}, {"n_nationkey": 771, "n_name": "B"}]}), "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL VALUES (770, 'A', 77), (771, 'B', 77)", lambda t: t.table(n))
     change("connect", lambda t: t.connect(ORDERS_OF, 1, o.o_orderkey.in_([1, 2, 3])), "SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2, 3) THEN 1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders")
 
+    change("upsert_repeated_key", lambda t: t.upsert(o, [new, new | {"o_totalprice": 99.0}, old, old], ("o_orderkey",)), added)
+    change("update_count", lambda t: t, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'", lambda t: t.update(o, o.o_orderstatus.eq("P"), o_orderstatus="Q").to_df())
+    change("delete_count", lambda t: t, "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') + (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') AS n", lambda t: t.delete(o, o.o_orderstatus.eq("F")).to_df())
+    change("update_filter_if", lambda t: (t.update(o, when("P", o.o_orderstatus.eq), o_orderstatus="Q"), t.update(o, when(None, o.o_orderkey.eq), o_totalprice=1.0)), "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, 1.0 AS o_totalprice FROM orders")
+    change("set_related_many", lambda t: t.set_related(ORDERS_OF, 5, [1, 2, 3]), "SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2, 3) THEN 5 WHEN o_custkey <> 5 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders")
+    change("disconnect", lambda t: t.disconnect(ORDERS_OF, o.o_custkey.eq(5)), "SELECT o_orderkey, CASE WHEN o_custkey <> 5 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM orders")
+    change("tx_sql", lambda t: t.delete(o, o.o_orderstatus.eq("F")), "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 1000 GROUP BY o_orderstatus", lambda t: t.sql("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > ? GROUP BY o_orderstatus", [1000]))
+    halved = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice / 2 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey <> :gone"
+    change("tx_execute", lambda t: t.execute(o, halved, {"gone": 3}), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice / 2 AS o_totalprice FROM orders WHERE o_orderkey <> 3")
+
+    def tree(db: Db, rule: str) -> tuple[Changes, Model]:
+        """Parts as a binary tree: 2 and 3 hang on 1, 4 and 5 on 2."""
+        node = Model("node", {"id": "bigint", "up": "bigint?"}, foreign=(ForeignKey("up", "node", "id", rule),))
+        rows = db.table(part).select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("up"))
+        return Changes(Db(db.spark, [*MODELS, node], db.root, {"node": rows})), node
+
+    as_tree = "node AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS up FROM part)"
+
+    @register("delete_self_cascade", f"WITH RECURSIVE {as_tree}, gone AS (SELECT id FROM node WHERE id = 3 UNION ALL SELECT node.id FROM node JOIN gone ON node.up = gone.id) SELECT id, up FROM node WHERE id NOT IN (SELECT id FROM gone)")
+    def delete_self_cascade(db: Db) -> DataFrame:
+        t, node = tree(db, "cascade")
+        t.delete(node, node.id.eq(3))
+        return t.table(node)
+
+    @register("delete_self_set_null", f"WITH {as_tree} SELECT id, CASE WHEN up NOT IN (3, 5) THEN up END AS up FROM node WHERE id NOT IN (3, 5)")
+    def delete_self_set_null(db: Db) -> DataFrame:
+        t, node = tree(db, "set_null")
+        t.delete(node, node.id.in_([3, 5]))
+        return t.table(node)
+
     def savepoints(t: Changes) -> None:
         t.delete(o, o.o_orderstatus.eq("P"))
         point = t.savepoint()

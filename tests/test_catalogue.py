@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tessella import catalogue
+from tessella.plans.actions import counted
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
@@ -34,6 +35,15 @@ def test_same_rows(spark, duck, name):
     assert ordered(df.columns, df.collect()) == ordered(names, expected.fetchall())
 
 
+@pytest.mark.parametrize("name", ["include_list", "include_nested", "include_contents", "include_through"])
+def test_a_tree_of_includes_is_one_action(spark, name):
+    with counted(spark) as some:
+        df = catalogue.QUERIES[name](spark, SF)
+    with counted(spark) as all_of_it:
+        df.collect()
+    assert (some.actions, all_of_it.actions) == (0, 1)
+
+
 def plan(spark, name):
     return catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
@@ -43,5 +53,11 @@ def test_plans(spark):
     assert "LeftAnti" in plan(spark, "rel_none") and "LeftAnti" in plan(spark, "rel_every")
     assert "WindowGroupLimit" in plan(spark, "include_take")
     assert "TakeOrderedAndProject" in plan(spark, "order_limit")
+    for name in ("upsert_update", "upsert_nothing"):
+        assert "FullOuter" not in plan(spark, name) and "BroadcastHashJoin" in plan(spark, name)
+    assert "Window" not in plan(spark, "include_one") and "Window" not in plan(spark, "include_list")
+    through = plan(spark, "include_through")
+    assert "LeftSemi" in through and "Window" not in through
+    assert "LeftSemi" in plan(spark, "related_through")
     scan = plan(spark, "filter_range")
     assert "PushedFilters: [IsNotNull(o_totalprice)" in scan and "o_orderdate" not in scan
