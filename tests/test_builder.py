@@ -4,9 +4,10 @@ from datetime import date
 
 import pytest
 
-from tessella.functions.predicates import all_of, any_of, raw
+from tessella.functions.predicates import Param, all_of, any_of, raw
 from tessella.operators.include import Include, every, none, some
-from tessella.plans.select import NoRow
+from tessella.plans.actions import counted
+from tessella.plans.select import METRICS, NoRow
 from tessella.schema import Model, Relation
 from tessella.session import Db
 
@@ -15,7 +16,9 @@ employees = Model("employees", {"id": "bigint", "role": "string", "age": "bigint
 users = Model("users", {"id": "bigint", "name": "string?"})
 posts = Model("posts", {"id": "bigint", "title": "string?", "author": "bigint?"})
 docs = Model("docs", {"id": "bigint", "meta": "string?"})
+likes = Model("likes", {"user": "bigint?", "post": "bigint"}, ("post", "user"))
 POSTS = Relation("posts", "posts", "author", "id")
+LIKED = Relation("liked", "posts", "id", "id", through=("likes", "user", "post"))
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +32,7 @@ def db(spark):
             "employees": frame([(1, "Engineer", 30, 1e5), (2, "Engineer", 35, 1.2e5), (3, "Manager", 45, 1.5e5), (4, "Manager", 50, 1.8e5)], employees.schema),
             "users": frame([(1, "Ann"), (2, "Bo"), (3, None)], users.schema),
             "posts": frame([(10, "x", 1), (11, None, 1), (12, "y", 2), (13, "z", None)], posts.schema),
-            "docs": frame([(1, '{"a": {"b": 5}, "t": ["x", "y"], "n": null, "f": true}'), (2, '{"a": {"b": 50}, "t": []}'), (3, '[{"k d": "v"}]'), (4, None)], docs.schema),
+            "docs": frame([(1, '{"a": {"b": 5}, "t": ["x", "y"], "n": null, "f": true}'), (2, '{"a": {"b": 50}, "t": []}'), (3, '[{"k d": "v"}]'), (4, None), (5, '{"it\'s": {"why?": 3, "s": "xAby"}}')], docs.schema),
         },
     )
 
@@ -100,6 +103,58 @@ def test_aggregates(db):
     assert [tuple(r) for r in by_role.filter(e.age.gt(35)).fetch_all()] == [(330000.0, 2)]
 
 
+def test_conditional_filters_of_aggregates(db):
+    e = employees
+    by_role = db.select(e).group_by(e.role).aggregate(e.id.count()).order_by(e.role.asc())
+    counts = lambda q: [r.count_id for r in q.fetch_all()]
+    assert counts(by_role.filter_if(None, e.age.gt)) == [2, 2] and counts(by_role.filter_if(40, e.age.gt)) == [2]
+    assert counts(by_role.filter(e.age.gt(46)).or_filter_if(31, e.age.lt)) == [1, 1]
+    assert counts(by_role.having(e.role.eq("Manager")).or_having_if("Engineer", e.role.eq)) == [2, 2]
+    assert counts(by_role.having(e.role.eq("Manager")).or_having_if(None, e.role.eq)) == [2]
+
+
+def test_prepared_builder(db):
+    query = db.select(items).filter(items.age.between(Param(0), Param(1)) & items.active.eq(Param(2))).order_by(items.id.asc()).prepare()
+    assert [r.id for r in query.bind_many([0, 30, 1]).fetch_all()] == [1, 3]
+    assert [r.id for r in query.bind(1, 100).fetch_all()] == [1, 3, 4]
+    assert [r.id for r in query.bind(2, 0).bind(9, "ignored").fetch_all()] == [2, 5]
+    with pytest.raises(ValueError, match="parameter 0"):
+        db.select(items).filter(items.age.eq(Param(0))).fetch_all()
+
+
+def test_combined_fetches(db):
+    some, more = db.select(items).filter(items.id.lte(2)).columns(items.id), db.select(items).filter(items.id.gte(2)).columns(items.id)
+    assert ids(some.union(more)) == [1, 2, 3, 4, 5] and ids(some.union_all(more)) == [1, 2, 2, 3, 4, 5]
+    assert ids(some.intersect(more)) == [2] and ids(some.except_(more)) == [1]
+    assert len(some.union(more).limit(3).fetch_all()) == 3 and len(some.union(more).offset(4).fetch_all()) == 1 and some.intersect(more).fetch_one().id == 2
+    assert sorted(r.id for r in some.union(more).stream()) == [1, 2, 3, 4, 5] == sorted(r.id for r in some.union(more).stream_unbuffered())
+    with pytest.raises(TypeError):
+        some.union(db.select(items)).fetch_all()
+
+
+def test_one_action_to_a_fetch(spark, db):
+    tree = db.select(users).filter(users.id.lt(3)).include(Include(POSTS))
+    with counted(spark) as n:
+        assert sorted(len(r.posts) for r in tree.fetch_all()) == [1, 2]
+        assert tree.order_by(users.id.asc()).fetch_one().id == 1
+    assert n.actions == 2
+    before = METRICS.fetches, METRICS.rows, METRICS.slow
+    METRICS.slow_after, was = 0.0, METRICS.slow_after
+    db.select(users).fetch_all()
+    METRICS.slow_after = was
+    assert (METRICS.fetches, METRICS.rows, METRICS.slow) == (before[0] + 1, before[1] + 3, before[2] + 1)
+
+
+def test_related(spark, db):
+    writer = Model("users", {"id": "bigint", "name": "string?"}, relations={"posts": POSTS, "liked": LIKED})
+    wide = Db(spark, [writer, posts, likes], tables=db.tables | {"likes": spark.createDataFrame([(1, 10), (1, 13), (2, 12), (None, 10)], likes.schema)})
+    assert ids(wide.related(wide.relation("users", "posts"), 1).filter(posts.title.is_null())) == [11]
+    assert [r.id for r in wide.related(writer.relation("liked"), 1).order_by(posts.id.desc()).fetch_all()] == [13, 10]
+    assert ids(wide.select(writer).filter(some(writer, writer.relation("liked"), posts.title.eq("y")))) == [2]
+    with pytest.raises(AttributeError, match="did you mean 'posts'"):
+        writer.relation("post")
+
+
 def test_joins(db):
     rows = db.select(users).left_join(posts, users.id.on(posts.author)).to_df().orderBy("left.id", "right.id").collect()
     assert [(r.left.id, r.right and r.right.id) for r in rows] == [(1, 10), (1, 11), (2, 12), (3, None)]
@@ -107,6 +162,10 @@ def test_joins(db):
     assert sum(r.left is None for r in rows) == 1 and sum(r.right is None for r in rows) == 1
     with pytest.raises(ValueError):
         db.select(users).inner_join(users, users.id.on(users.id))
+    next_one = users.id.compare("<", users.id.aliased("later"))
+    pairs = lambda q: sorted(((r.left and r.left.id, r.right and r.right.id) for r in q.to_df().collect()), key=str)
+    assert pairs(db.select(users).right_join(users, next_one, "later")) == [(1, 2), (1, 3), (2, 3), (None, 1)]
+    assert pairs(db.select(users).full_join(users, next_one, "later")) == [(1, 2), (1, 3), (2, 3), (3, None), (None, 1)]
 
 
 def test_relations(db):
@@ -126,6 +185,8 @@ def test_json(db):
     assert ids(db.select(d).filter(d.meta.has_key("n"))) == [1]
     assert ids(db.select(d).filter(d.meta.json_contains({"a": {"b": 5}, "t": ["y"], "f": True, "n": None}))) == [1]
     assert ids(db.select(d).filter(d.meta.json_contains({"t": []}))) == [1, 2]
+    assert ids(db.select(d).filter(d.meta.get("it's").get("why?").gte(3) & d.meta.get("it's").get_text("s").ilike("aB"))) == [5]
+    assert ids(db.select(d).filter(d.meta.json_contains({"it's": {"why?": 3}}))) == [5] and ids(db.select(d).filter(d.meta.has_key("it's"))) == [5]
 
 
 def test_dates(spark):
