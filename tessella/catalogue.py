@@ -395,6 +395,18 @@ def subqueries() -> None:
         anchor = db.with_cte(first, db.select(t).filter(t.turn.eq(0)).group_by(t.turn).aggregate(t.conv_id.count()).include_keys()).select(first)
         return db.with_recursive(chain, anchor, "SELECT chain.turn + 1, chain.n FROM chain WHERE chain.turn < 6").select(chain)
 
+    @register(
+        "cte_merge",
+        "WITH rich AS (SELECT c_custkey FROM customer WHERE c_acctbal > 9000), spend AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)"
+        " SELECT c_custkey FROM rich UNION SELECT o_custkey FROM spend WHERE total > 3000000",
+    )
+    def cte_merge(db: Db) -> object:
+        """Both sides of a set operation bring a common table expression of their own."""
+        rich = Model("rich", {"c_custkey": "bigint"}, ("c_custkey",))
+        one = db.with_cte(rich, db.select(c).filter(c.c_acctbal.gt(9000.0)).columns(c.c_custkey))
+        two = db.with_cte(spend, db.select(o).group_by(o.o_custkey).aggregate(o.o_totalprice.sum()).include_keys())
+        return one.select(rich).union(two.select(spend).filter(spend.sum_o_totalprice.gt(3000000.0)).columns(spend.o_custkey))
+
     walk = Model("walk", {"conv_id": "bigint", "turn": "bigint", "chars": "bigint"}, ("conv_id", "turn"))
 
     @register(
