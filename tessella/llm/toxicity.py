@@ -40,10 +40,13 @@ from tessella.llm.common import CACHE_ENTRIES, discard, held_out, settle
 from tessella.llm.quality_model import MAX_LABELLED, some
 
 FEATURES = 1 << 20
-#: Documents that must hold a word before it gets a weight, and by how many standard errors its share of
-#: the positives must differ from its share of the unlabelled.
-MIN_DOCS, MIN_ERRORS = 5, 4.0
-STEPS, RATE, DECAY = 60, 0.2, 2e-4
+#: Documents that must hold a word before it gets a weight, by how many standard errors its share of the
+#: positives must differ from its share of the unlabelled, and by what factor. Without the last, more and more
+#: common words would pass as the corpus grows, each with next to no weight.
+MIN_DOCS, MIN_ERRORS, MIN_RATIO = 5, 4.0, 3.0
+STEPS, RATE, DECAY = 40, 0.3, 2e-4
+#: Tasks of a pass, at most, and numbers of a piece in which a task gives back its sums.
+TASKS, PIECE = 512, 1024
 #: Steps to one in which a document's part of a gradient is summed.
 FIXED = 1 << 24
 CUT = 0.5
@@ -110,7 +113,8 @@ def weighed(counts: DataFrame, n_p: int, n_u: int) -> np.ndarray:
     """The features whose share of the positives clearly differs from that of all rows, ascending."""
     share = (F.col("n_p") + F.col("n_u")) / (n_p + n_u)
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
-    clear = F.abs(F.col("n_p") / n_p - F.col("n_u") / n_u) >= MIN_ERRORS * error
+    of_p, of_u = F.col("n_p") / n_p, F.col("n_u") / n_u
+    clear = (F.abs(of_p - of_u) >= MIN_ERRORS * error) & (F.greatest(of_p, of_u) >= MIN_RATIO * F.least(of_p, of_u))
     rows = counts.where((F.col("feature") < FEATURES) & (F.col("n_u") >= MIN_DOCS) & clear).select("feature").toArrow()
     return np.sort(np.asarray(rows.column("feature")))
 
@@ -168,11 +172,15 @@ def train(table: DataFrame, m: int, n_p: int, n_u: int, prior: float) -> np.ndar
             total = np.zeros((3, m + 2), np.int64)
             for batch in batches:
                 total += risk_parts(*_flat(batch.column("x")), np.asarray(batch.column("n_p")), np.asarray(batch.column("n_u")), weights)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m + 2, dtype=np.int32)), *map(pa.array, total)], names=["at", "a", "b", "c"])
+            pieces = [total.ravel()[i : i + PIECE] for i in range(0, total.size, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(pieces, pa.list_(pa.int64()))], names=["piece", "v"])
 
-        parts = np.zeros((3, m + 2))
-        for at, *sums in table.mapInArrow(run, "at int, a long, b long, c long").groupBy("at").agg(*[F.sum(c) for c in "abc"]).collect():
-            parts[:, at] = sums
+        def add(pieces: pa.Table) -> pa.Table:
+            v = np.sum([np.asarray(x.values) for x in pieces.column("v")], axis=0)
+            return pa.table({"piece": pieces.column("piece")[:1], "v": pa.array([v], pa.list_(pa.int64()))})
+
+        sums = table.mapInArrow(run, "piece int, v array<long>").groupBy("piece").applyInArrow(add, "piece int, v array<long>").toArrow()
+        parts = np.concatenate([np.asarray(x.values) for x in sums.sort_by("piece").column("v")]).reshape(3, m + 2).astype(float)
         g = gradient(parts, n_p, n_u, prior)
         g[:-1] += DECAY * weights[:-1]
         first = 0.9 * first + 0.1 * g
@@ -198,7 +206,7 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str, max_labelled: in
         return nothing
     used = weighed(counts, *total)
     table = settle(patterns(training, used))
-    weights = train(table, len(used), *total, prior)
+    weights = train(table.coalesce(TASKS), len(used), *total, prior)
     discard(counts, table)
     return used, weights, prior
 
