@@ -6,8 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
-from weakref import WeakKeyDictionary
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -19,8 +19,8 @@ CACHE_ENTRIES = 300_000
 MASK = (1 << 64) - 1
 
 
-#: Where each settled table that is still in use lies.
-PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Each settled table that is still there, by its path.
+TABLES: dict[str, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,17 +44,24 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    PATHS[out] = path
+    TABLES[path] = out
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
-    for df in tables:
-        if path := PATHS.pop(df, None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for path in [p for p, df in TABLES.items() if any(df is t for t in tables)]:
+        spark = TABLES.pop(path).sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Deletes at its end the tables that were settled inside, but for those put on the list."""
+    before, kept = set(TABLES), []
+    yield kept
+    discard(*[df for p, df in TABLES.items() if p not in before and not any(df is k for k in kept)])
 
 
 def row_key(*columns: str) -> Column:

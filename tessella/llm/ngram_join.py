@@ -15,8 +15,8 @@ grow with the group, not with its square. The groups of frequent signatures, whi
 shows, are dealt to several tasks, whose least nodes are linked in turn. Candidates are verified on the
 exact sets. What may still be missed are links between two components inside a group. A node with such a
 link shares at least the threshold's part of its own n-grams with other components, so nodes that don't
-are dropped, again and again, by counting n-grams alone. The few that remain are compared, block by block
-of about ``BLOCK`` n-grams, through an inverted index in each task that counts common n-grams and gives
+are dropped, again and again, by counting n-grams alone. The few that remain are compared, block by block,
+through an inverted index in each task that counts common n-grams and gives
 back links alone. The components are exactly those of all links.
 
 Defined results: a null or empty text, or one without words, has an empty set (0) and is a component
@@ -35,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WordHashes, discard, mixed, row_key, settle, unused, windows
+from tessella.llm.common import WordHashes, discard, mixed, row_key, settle, temporary, unused, windows
 from tessella.llm.graph import components
 
 #: Rows of a few numbers that may be broadcast beside their texts; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Rounds in which nodes without enough n-grams in common with other components are dropped.
 PEELS = 3
-#: N-grams of a block; two blocks at a time are compared in a task.
-BLOCK = 1 << 20
+#: A cluster of n n-grams is cut into the root of n / ``BLOCK`` blocks, and more where blocks would then have
+#: over ``MOST`` n-grams; two blocks at a time are compared in a task.
+BLOCK, MOST = 1 << 12, 1 << 22
 #: Comparisons of one centre that go to one task.
 SALT = 512
 #: Nodes are sampled by one in so many to find frequent signatures, of which so many sampled nodes make a
@@ -179,7 +180,6 @@ class NgramJoin:
         twins = [r.node for r in sets.where("low != high").select("node").collect()]
         if twins:
             hashed = hashed.withColumn("node", F.when(F.col("node").isin(twins), F.col("second")).otherwise(F.col("node")))
-            discard(sets)
             sets = settle(named(hashed))
         return hashed, sets
 
@@ -241,28 +241,24 @@ class NgramJoin:
         return ordered.mapInArrow(run, "u long, v long")
 
     def roots(self) -> tuple[DataFrame, DataFrame]:
-        """The table of documents and their nodes, and (node, root) for every node with a link."""
-        hashed, sets = self.prepare()
-        groups = settle(self.groups(hashed))
-        # the least nodes of a frequent signature's parts are linked to the least of them
-        parts = groups.where("a = b").select("sig", "a")
-        least = settle(parts.groupBy("sig").agg(F.min("a").alias("m")))
-        heads = parts.join(least, "sig").where("m != a").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        stars = self._near(groups.where("a != b").select("a", "b").union(heads).distinct(), sets)
-        edges = settle(self.verified(stars, sets))
-        labels = settle(components(edges))
-        more = self._across(groups, labels, sets)
-        if more is not None and not more.isEmpty():
-            discard(labels)
-            labels = settle(components(edges.union(more)))
-        discard(groups, least, stars, edges)
-        return hashed, labels
-
-    def _near(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        for c in "ab":
-            pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")), c)
-        return settle(pairs.where(self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")).select("a", "b"))
+        """(doc_id, n_shingles, node) per document, and (node, root) for every node with a link."""
+        with temporary() as kept:
+            with temporary() as passed_on:  # signatures go as soon as they are grouped
+                hashed, sets = self.prepare()
+                groups, nodes = settle(self.groups(hashed)), settle(hashed.select("doc_id", "n_shingles", "node"))
+                passed_on += [sets, groups, nodes]
+            # the least nodes of a frequent signature's parts are linked to the least of them
+            parts = groups.where("a = b").select("sig", "a")
+            least = settle(parts.groupBy("sig").agg(F.min("a").alias("m")))
+            heads = parts.join(least, "sig").where("m != a").select(F.col("m").alias("a"), F.col("a").alias("b"))
+            stars = settle(groups.where("a != b").select("a", "b").union(heads).distinct())
+            edges = settle(self.verified(stars, sets))
+            labels = settle(components(edges))
+            more = self._across(groups, labels, sets)
+            if more is not None and not more.isEmpty():
+                labels = settle(components(edges.union(more)))
+            kept += [nodes, labels]
+        return nodes, labels
 
     def _across(self, groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
         """Links (u, v) between components that share a signature."""
@@ -276,7 +272,7 @@ class NgramJoin:
         members = settle(_open(settle(members.drop("root").join(held, "node"))))
         centres = settle(members.groupBy("sig").agg(F.min("node").alias("u")))
         clusters = settle(components(members.join(centres, "sig").select("u", F.col("node").alias("v")).distinct()).withColumnRenamed("root", "cluster").join(sets, "node"))
-        blocks = settle(clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+        blocks = settle(clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.sqrt(F.sum("n") / BLOCK), F.sum("n") / MOST)).alias("blocks")))
         placed = clusters.join(blocks, "cluster").join(held, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         texts = self.texts(settle(placed.select("cluster", "blocks", "block", "node", "root", "pick"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = texts.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "text")
@@ -348,9 +344,7 @@ class NgramJoin:
             foreign = settle(left.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle"))
             common = left.join(foreign, "shingle").groupBy("node").agg(F.count("*").alias("common"))
             members = settle(before.join(common, "node").where(self.den * F.col("common") >= self.num * F.col("n")).select(*before.columns))
-            same = members.count() == before.count()
-            discard(foreign, before)
-            if same:
+            if members.count() == before.count():
                 break
             elements = whole.join(members.select("node"), "node", "left_semi")
         discard(whole)
@@ -358,8 +352,8 @@ class NgramJoin:
 
     def link(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) per document."""
-        hashed, labels = self.roots()
-        joined = hashed.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
+        nodes, labels = self.roots()
+        joined = nodes.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"))
         least = settle(joined.where("node != 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
         out = joined.join(least, "root", "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
