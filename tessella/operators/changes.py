@@ -273,31 +273,57 @@ class Changes:
             return None
 
     def _doomed(self, model: Model, first: DataFrame) -> dict[str, DataFrame]:
-        """The rows that go with ``first``, by model. Where cascades loop, as in a table that refers to itself,
-        each level is written to the checkpoint folder, and the search ends with a level that is empty."""
-        looped = self._looped(model)
+        """The rows that go with ``first``, by model."""
+        if self._looped(model):
+            return self._doomed_in_loops(model, first)
         found, level = {model.name: first}, {model.name: first}
         while level:
-            below: dict[str, DataFrame] = {}
-            for child, k in self._cascades(level):
-                rows = self._table_or_none(child)
-                if rows is None:
-                    continue
-                gone = level[k.model].select(F.col(k.key).alias("__gone")).distinct()
-                lost = rows.join(gone, F.col(k.column) == F.col("__gone"), "left_semi")
-                for known in (found.get(child.name), below.get(child.name)):
-                    if known is not None:
-                        lost = lost.join(known.select(*child.key), list(child.key), "left_anti").select(*child.columns)
-                below[child.name] = below[child.name].unionByName(lost) if child.name in below else lost
-            if looped:
-                below = {name: self._checkpointed(df) for name, df in below.items()}
-                below = {name: df for name, df in below.items() if not df.isEmpty()}
-            for name, df in below.items():
+            level = self._below(level, found)
+            for name, df in level.items():
                 found[name] = found[name].unionByName(df) if name in found else df
-            level = below
         return found
 
-    def _checkpointed(self, df: DataFrame) -> DataFrame:
+    def _below(self, level: dict[str, DataFrame], found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The rows that go by cascade with those of ``level``, but for those ``found`` before."""
+        below: dict[str, DataFrame] = {}
+        for child, k in self._cascades(level):
+            rows = self._table_or_none(child)
+            if rows is None:
+                continue
+            gone = level[k.model].select(F.col(k.key).alias("__gone")).distinct()
+            lost = rows.join(gone, F.col(k.column) == F.col("__gone"), "left_semi")
+            for known in (found.get(child.name), below.get(child.name)):
+                if known is not None:
+                    lost = lost.join(known.select(*child.key), list(child.key), "left_anti").select(*child.columns)
+            below[child.name] = below[child.name].unionByName(lost) if child.name in below else lost
+        return below
+
+    def _doomed_in_loops(self, model: Model, first: DataFrame) -> dict[str, DataFrame]:
+        """The same where cascades loop, as in a table that refers to itself; the search ends with a level that is empty.
+
+        Each level is written as Parquet and read back. A checkpoint would keep what Spark infers of its columns,
+        and from level to level those conditions double; files keep nothing of the plan that made them, and all
+        levels of a model are one scan. The files go when the search ends; its result is checkpointed.
+        """
+        spark, root = self.db.spark, f"{self._checkpoint_dir()}/cascade-{uuid.uuid4().hex}"
+        found: dict[str, DataFrame] = {}
+        made, depth = {model.name: first}, 0
+        try:
+            while made:
+                level = {}
+                for name, df in made.items():
+                    folder = f"{root}/rows-{name}"
+                    df.write.parquet(f"{folder}/{depth}")
+                    level[name] = spark.read.schema(df.schema).parquet(f"{folder}/{depth}")
+                    found[name] = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
+                level = {name: df for name, df in level.items() if not df.isEmpty()}
+                made, depth = self._below(level, found), depth + 1
+            return {name: df.checkpoint() for name, df in found.items()}
+        finally:
+            self._remove(root)
+
+    def _checkpoint_dir(self) -> str:
+        """The folder of Spark's checkpoints, set from the session's where the context has none."""
         context = self.db.spark.sparkContext
         if not context.getCheckpointDir():
             where = self.db.spark.conf.get("spark.checkpoint.dir", None)
@@ -306,7 +332,11 @@ class Changes:
                     raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
                 where = tempfile.mkdtemp(prefix="tessella-")
             context.setCheckpointDir(where)
-        return df.checkpoint()
+        return context.getCheckpointDir()
+
+    def _remove(self, path: str) -> None:
+        where = self.db.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.db.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     # relations
 
@@ -426,8 +456,7 @@ class Changes:
             self.check(written)
         except BaseException:
             for path in paths.values():
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._remove(path)
             raise
         self.rollback()
         return self.db.with_tables(**written)

@@ -114,6 +114,21 @@ def test_cascade_over_models_in_a_circle(spark):
     assert rows(tx, a) == [(3, None)] and rows(tx, b) == [(12, 3)]
 
 
+def test_plans_of_a_cascade_do_not_grow_with_its_depth(spark):
+    node = Model("node", {"id": "bigint", "up": "bigint?"}, foreign=(ForeignKey("up", "node", "id", "cascade"),))
+
+    def size(depth):
+        chain = spark.range(1, depth + 2).selectExpr("id", "CASE WHEN id > 1 THEN id - 1 END AS up")
+        tx = Changes(Db(spark, [node], tables={"node": chain}))
+        assert tx.delete(node, node.id.eq(2)).count() == depth
+        assert rows(tx, node) == [(1, None)]
+        return len(tx.table(node)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert size(8) < 1.2 * size(2)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/cascade-*")
+    assert not list(fs.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs))  # levels are deleted
+
+
 def test_dangling_children_of_a_deleted_parent(make, tmp_path):
     tx, _ = make("no_action")
     tx.delete(users, users.id.eq(1))
