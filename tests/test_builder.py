@@ -132,6 +132,16 @@ def test_combined_fetches(db):
         some.union(db.select(items)).fetch_all()
 
 
+def test_actions_are_counted_when_spark_drops_old_ones(spark):
+    one = spark.sql("VALUES (1)")
+    for _ in range(int(spark.conf.get("spark.sql.ui.retainedExecutions"))):
+        one.collect()
+    with counted(spark) as n:
+        spark.range(3).count()
+        spark.range(3).collect()
+    assert n.actions == 2
+
+
 def test_one_action_to_a_fetch(spark, db):
     tree = db.select(users).filter(users.id.lt(3)).include(Include(POSTS))
     with counted(spark) as n:
